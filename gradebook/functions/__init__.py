@@ -1,0 +1 @@
+"""gradebook: Spark operators for evaluation and post-training data."""
