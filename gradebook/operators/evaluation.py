@@ -121,3 +121,13 @@ def forgetting_report(results: DataFrame, model: str, dataset: str, baseline_mod
             .groupBy(dataset).agg(F.max(acc).alias("baseline_accuracy")))
     return (results.join(base, on=dataset, how="left")
             .withColumn("accuracy_change", F.col(acc) - F.col("baseline_accuracy")))
+
+
+def change_since_first(results: DataFrame, exp: str, step: str,
+                       acc: str = "accuracy_percent", digits: int = 2) -> DataFrame:
+    """E14 over a curve: accuracy next to the experiment's first checkpoint (the
+    zero-shot point), and the difference. One partial aggregation + one equi-join."""
+    base = results.groupBy(exp).agg(F.min_by(F.col(acc), F.col(step)).alias("baseline_accuracy"))
+    return (results.join(base, on=exp, how="inner")
+            .withColumn("accuracy_change",
+                        F.round(F.col(acc) - F.col("baseline_accuracy"), digits)))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import evaluation_plans as evp
+from . import rollup_plans as rup
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -19,5 +20,9 @@ def queries() -> dict[str, Plan]:
         "language_report": evp.language_report,
         "running_accuracy": evp.running_accuracy_by_source,
         "batch_accuracy": evp.batch_accuracy_by_source,
+        "checkpoint_curve": rup.checkpoint_curve,
+        "best_checkpoint": rup.best_checkpoint,
+        "forgetting_curve": rup.forgetting_curve,
+        "result_files_rollup": rup.result_files_rollup,
     }
     return q

@@ -88,7 +88,40 @@ SELECT source, batch, total_samples, correct_predictions,
     return q
 
 
+CURVE = f"""
+curve AS (
+  SELECT exp, step, total_samples, correct_predictions,
+         {_acc_cols()} AS accuracy_percent
+  FROM (SELECT event_type AS exp,
+               CAST(datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS step,
+               count(*) AS total_samples,
+               count(*) FILTER (WHERE value > 10.0) AS correct_predictions
+        FROM events GROUP BY 1, 2))"""
+
+BEST = f"""
+WITH {CURVE},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY exp ORDER BY accuracy_percent DESC, step)
+                  AS rn FROM curve)
+SELECT exp, step, accuracy_percent, total_samples, correct_predictions FROM ranked
+WHERE rn = 1 ORDER BY exp"""
+
+
+def rollup_sql() -> dict[str, str]:
+    return {
+        "checkpoint_curve": f"WITH {CURVE} SELECT * FROM curve ORDER BY exp, step",
+        "best_checkpoint": BEST,
+        "forgetting_curve": f"""
+WITH {CURVE},
+base AS (SELECT exp, arg_min(accuracy_percent, step) AS baseline_accuracy FROM curve GROUP BY exp)
+SELECT c.exp, c.step, c.accuracy_percent, b.baseline_accuracy,
+       round(c.accuracy_percent - b.baseline_accuracy, 2) AS accuracy_change
+FROM curve c JOIN base b USING (exp)""",
+        "result_files_rollup": BEST,
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q.update(evaluation_sql())
+    q.update(rollup_sql())
     return q
