@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import evaluation_plans as evp
 from . import rollup_plans as rup
+from . import sampling_plans as smp
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -24,5 +25,10 @@ def queries() -> dict[str, Plan]:
         "best_checkpoint": rup.best_checkpoint,
         "forgetting_curve": rup.forgetting_curve,
         "result_files_rollup": rup.result_files_rollup,
+        "shuffled_documents": smp.shuffled_documents,
+        "validation_split": smp.validation_split,
+        "grouped_sample_stream": smp.grouped_sample_stream,
+        "repeated_sample_stream": smp.repeated_sample_stream,
+        "incomplete_source_groups": smp.incomplete_source_groups,
     }
     return q

@@ -120,8 +120,41 @@ FROM curve c JOIN base b USING (exp)""",
     }
 
 
+PERM = """
+perm AS (
+  SELECT doc_id, source,
+         row_number() OVER (ORDER BY md5(concat('42', ':', CAST(doc_id AS VARCHAR))), doc_id)
+           AS perm_pos,
+         count(*) OVER () AS n
+  FROM documents)"""
+
+
+def sampling_sql() -> dict[str, str]:
+    return {
+        "shuffled_documents": f"WITH {PERM} SELECT doc_id, CAST(perm_pos AS BIGINT) AS perm_pos FROM perm",
+        "validation_split": f"""
+WITH {PERM}
+SELECT doc_id, CASE WHEN perm_pos <= floor(n * 0.1) THEN 'validation' ELSE 'train' END AS split
+FROM perm""",
+        "grouped_sample_stream": f"""
+WITH {PERM},
+kept AS (SELECT doc_id, perm_pos - 1 AS p FROM perm WHERE floor((perm_pos - 1) / 8) < floor(n / 8)),
+k AS (SELECT unnest(range(0, 8)) AS k)
+SELECT CAST(floor(p / 8) * 64 + floor(k / 4) * 32 + (p % 8) * 4 + k % 4 AS BIGINT) AS sample_pos,
+       doc_id
+FROM kept, k""",
+        "repeated_sample_stream": f"""
+WITH {PERM}, k AS (SELECT unnest(range(0, 3)) AS k)
+SELECT CAST((perm_pos - 1) * 3 + k AS BIGINT) AS sample_pos, doc_id FROM perm, k""",
+        "incomplete_source_groups": """
+SELECT source, count(*) AS rows FROM documents GROUP BY source HAVING count(*) <> 50
+ORDER BY source""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
+    q.update(sampling_sql())
     q.update(evaluation_sql())
     q.update(rollup_sql())
     return q
