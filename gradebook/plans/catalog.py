@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import evaluation_plans as evp
 from . import rollup_plans as rup
 from . import sampling_plans as smp
+from . import grpo_plans as gp
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -30,5 +31,10 @@ def queries() -> dict[str, Plan]:
         "grouped_sample_stream": smp.grouped_sample_stream,
         "repeated_sample_stream": smp.repeated_sample_stream,
         "incomplete_source_groups": smp.incomplete_source_groups,
+        "rollout_advantages": gp.rollout_advantages,
+        "step_metrics": gp.step_metrics,
+        "logged_metrics": gp.logged_metrics,
+        "token_row_stats": gp.token_row_stats,
+        "token_loss_summary": gp.token_loss_summary,
     }
     return q

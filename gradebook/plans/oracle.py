@@ -152,8 +152,107 @@ ORDER BY source""",
     }
 
 
+DUCK_STRIP = (r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+              r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+
+
+def strip_sql(expr: str) -> str:
+    """Python str.strip() in DuckDB."""
+    return f"regexp_replace({expr}, '^{DUCK_STRIP}+|{DUCK_STRIP}+$', '', 'g')"
+
+
+def c1_sql(expr: str) -> str:
+    """C1 in DuckDB (same alternation as the Spark form)."""
+    hit = f"regexp_extract(lower({expr}), '{MARKER_RE}', 2)"
+    return f"CASE WHEN {expr} IS NULL OR {hit} = '' THEN 'unknown' ELSE {hit} END"
+
+
+ONE, ZERO = "CAST(1.0 AS DOUBLE)", "CAST(0.0 AS DOUBLE)"
+
+SCORED = f"""
+ex AS (SELECT conv_id, {c1_sql('arg_min(text, turn)')} AS solution
+       FROM conversations WHERE role = 'user' GROUP BY conv_id),
+ro AS (SELECT conv_id, turn AS gen_idx, text AS content FROM conversations WHERE role = 'assistant'),
+sc AS (SELECT r.conv_id, r.gen_idx, r.content, e.solution,
+              CASE WHEN {c1_sql('r.content')} = e.solution THEN {ONE} ELSE {ZERO} END AS reward_accuracy,
+              CASE WHEN regexp_matches({strip_sql('r.content')},
+                                       '(?i)^the answer is [{WORD}]+\\.?$') THEN {ONE} ELSE {ZERO} END
+                AS reward_format
+       FROM ro r JOIN ex e USING (conv_id)),
+t AS (SELECT *, reward_accuracy + reward_format AS reward FROM sc),
+st AS (SELECT conv_id, avg(reward) AS group_mean, stddev_samp(reward) AS group_std
+       FROM t GROUP BY conv_id),
+adv AS (SELECT t.*, st.group_mean, st.group_std,
+               (t.reward - st.group_mean) / (st.group_std + 0.0001) AS advantage
+        FROM t JOIN st USING (conv_id))"""
+
+STEP_METRICS = f"""
+{SCORED},
+wide AS (SELECT CAST(floor(conv_id / 4) AS BIGINT) AS step,
+                avg(CAST(len(string_split(content, ' ')) AS DOUBLE)) AS completion_length,
+                avg(reward_accuracy) AS ra, avg(reward_format) AS rf, avg(reward) AS r,
+                avg(group_std) AS rs
+         FROM adv GROUP BY 1),
+m AS (SELECT step, 'completion_length' AS name, completion_length AS value FROM wide
+      UNION ALL SELECT step, 'rewards/accuracy', ra FROM wide
+      UNION ALL SELECT step, 'rewards/format', rf FROM wide
+      UNION ALL SELECT step, 'reward', r FROM wide
+      UNION ALL SELECT step, 'reward_std', rs FROM wide)"""
+
+TOKENS = """
+r AS (SELECT user_id AS row_id,
+             row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos,
+             coalesce(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3
+                      WHEN 'purchase' THEN 4 WHEN 'error' THEN 0 END, -1) AS token,
+             -value / 100.0 AS lp, -value / 90.0 AS old_lp, -value / 110.0 AS ref_lp
+      FROM events),
+a AS (SELECT user_id AS row_id, (avg(value) - 50.0) / 50.0 AS advantage FROM events GROUP BY 1),
+fe AS (SELECT row_id, min(pos) AS first_eos FROM r WHERE token = 0 GROUP BY row_id),
+t AS (SELECT r.*, a.advantage,
+             CASE WHEN fe.first_eos IS NULL OR r.pos <= fe.first_eos THEN 1 ELSE 0 END AS mask
+      FROM r JOIN a USING (row_id) LEFT JOIN fe USING (row_id)),
+terms AS (SELECT *, exp(ref_lp - lp) - (ref_lp - lp) - 1.0 AS kl,
+                 exp(lp - old_lp) AS ratio,
+                 least(greatest(exp(lp - old_lp), 0.8), 1.2) AS clipped
+          FROM t),
+terms2 AS (SELECT *, -least(ratio * advantage, clipped * advantage) + 0.04 * kl AS token_loss,
+                  CASE WHEN ratio * advantage < clipped * advantage THEN 1 ELSE 0 END AS is_clipped
+           FROM terms),
+rows_ AS (SELECT row_id, CAST(sum(mask) AS BIGINT) AS mask_len, count(*) AS n_tokens,
+                 sum(kl * mask) / sum(mask) AS row_kl, sum(token_loss * mask) / sum(mask) AS row_loss,
+                 CAST(sum(is_clipped * mask) AS BIGINT) AS clipped_tokens
+          FROM terms2 GROUP BY row_id)"""
+
+
+def grpo_sql() -> dict[str, str]:
+    return {
+        "rollout_advantages": f"""
+WITH {SCORED}
+SELECT conv_id, gen_idx, solution, reward_accuracy, reward_format, reward,
+       round(group_mean, 6) AS group_mean, round(group_std, 6) AS group_std,
+       round(advantage, 6) AS advantage
+FROM adv""",
+        "step_metrics": f"WITH {STEP_METRICS} SELECT step, name, round(value, 6) AS value FROM m",
+        "logged_metrics": f"""
+WITH {STEP_METRICS}
+SELECT CAST(floor(step / 5) AS BIGINT) AS log_window, name, round(avg(value), 6) AS value
+FROM m GROUP BY 1, 2""",
+        "token_row_stats": f"""
+WITH {TOKENS}
+SELECT row_id, n_tokens, mask_len, clipped_tokens, round(row_kl, 9) AS row_kl,
+       round(row_loss, 9) AS row_loss FROM rows_""",
+        "token_loss_summary": f"""
+WITH {TOKENS}
+SELECT round(avg(row_kl), 9) AS kl, round(avg(row_loss), 9) AS loss,
+       round(sum(clipped_tokens) / sum(mask_len), 9) AS clip_ratio,
+       count(*) AS n_rows, CAST(sum(mask_len) AS BIGINT) AS n_masked_tokens
+FROM rows_""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
+    q.update(grpo_sql())
     q.update(sampling_sql())
     q.update(evaluation_sql())
     q.update(rollup_sql())
