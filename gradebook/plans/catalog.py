@@ -10,6 +10,7 @@ from . import evaluation_plans as evp
 from . import rollup_plans as rup
 from . import sampling_plans as smp
 from . import grpo_plans as gp
+from . import records_plans as rcp
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -36,5 +37,9 @@ def queries() -> dict[str, Plan]:
         "logged_metrics": gp.logged_metrics,
         "token_row_stats": gp.token_row_stats,
         "token_loss_summary": gp.token_loss_summary,
+        "sft_records": rcp.sft_records,
+        "rl_examples": rcp.rl_examples,
+        "conversation_prompts": rcp.conversation_prompts,
+        "cot_records": rcp.cot_records,
     }
     return q

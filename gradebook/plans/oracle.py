@@ -6,6 +6,7 @@ types match the Spark plans one for one.
 
 from __future__ import annotations
 
+from ..functions import prompts as pr
 from .evaluation_plans import CLASS_NAMES, LANG_ALIASES, LANG_CLASSES
 
 WORD = r"\p{L}\p{N}_"
@@ -250,8 +251,109 @@ FROM rows_""",
     }
 
 
+def _lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+CLASSES_TEXT = ("(SELECT string_agg(name, ', ' ORDER BY label) FROM (VALUES "
+                + ", ".join(f"({i}, '{n}')" for i, (_, n) in enumerate(LANG_CLASSES))
+                + ") c(label, name))")
+LANG_CLASS = f"lower({_case('lang', LANG_CLASSES)})"
+SFT_PROMPT = (f"{_lit(pr.IMAGE_TAG + pr.QUESTION + pr.CHOOSE)} || {CLASSES_TEXT} || '.'")
+RL_PROMPT = (f"{_lit(pr.IMAGE_TAG + pr.QUESTION + pr.CHOOSE)} || {CLASSES_TEXT} || "
+             f"{_lit('. ' + pr.ANSWER_FORM)}")
+
+
+def _strip_re(expr: str, pattern: str) -> str:
+    return f"regexp_replace({expr}, {_lit(pattern)}, '')"
+
+
+def records_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["sft_records"] = f"""
+SELECT d.doc_id, l.quality, {SFT_PROMPT} AS user_content,
+       'The answer is ' || {LANG_CLASS} AS assistant_content,
+       'documents/' || printf('%05d', d.doc_id) || '.png' AS image
+FROM documents d JOIN labels l USING (doc_id)"""
+    q["rl_examples"] = f"""
+WITH perm AS (
+  SELECT doc_id, lang,
+         row_number() OVER (ORDER BY md5(concat('42', ':', CAST(doc_id AS VARCHAR))), doc_id) AS pp,
+         count(*) OVER () AS n
+  FROM documents),
+sp AS (SELECT doc_id, lang, CASE WHEN pp <= floor(n * 0.1) THEN 'test' ELSE 'train' END AS split
+       FROM perm),
+ix AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1 AS i FROM sp),
+ex AS (
+  SELECT 'documents-' || split || '-' || CAST(i AS VARCHAR) AS id,
+         CASE split WHEN 'train' THEN '/data/images/documents'
+                    ELSE '/data/images/documents_eval' END
+           || '/' || split || '/' || split || '_' || printf('%05d', i) || '.png' AS image_path,
+         replace({RL_PROMPT}, '<image>', '') AS problem,
+         {LANG_CLASS} AS solution,
+         coalesce(CASE WHEN l.toxic = 1 THEN 'toxicity' END,
+                  CASE split WHEN 'train' THEN 'default' ELSE 'accuracy' END) AS accu_reward_method,
+         'documents' AS dataset_name
+  FROM ix LEFT JOIN labels l USING (doc_id))
+SELECT *, replace({_lit(pr.question_template('rec'))}, '{{Question}}', problem) AS prompt_text,
+       CAST(2 AS INTEGER) AS prompt_items
+FROM ex"""
+    q["conversation_prompts"] = """
+WITH f AS (SELECT conv_id, arg_min(role, turn) AS r0, arg_min(text, turn) AS x0, min(turn) AS t0
+           FROM conversations GROUP BY conv_id),
+s AS (SELECT conv_id, CASE WHEN r0 = 'system' THEN t0 END AS sys_turn,
+             CASE WHEN r0 = 'system' THEN x0 END AS system_message FROM f),
+b AS (SELECT c.conv_id, c.turn, replace(c.text, '<image>', '<image>' || chr(10)) AS x
+      FROM conversations c JOIN s USING (conv_id)
+      WHERE s.sys_turn IS NULL OR c.turn <> s.sys_turn),
+bi AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM b),
+agg AS (SELECT conv_id, count(*) AS n,
+               string_agg(CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END || ': ' || x,
+                          chr(10) ORDER BY turn) AS body
+        FROM bi GROUP BY conv_id)
+SELECT s.conv_id, s.system_message, CAST(coalesce(n, 0) AS INTEGER) AS n_messages,
+       coalesce(CASE WHEN n % 2 = 1 THEN body || chr(10) || 'assistant: ' ELSE body END, '')
+         AS prompt
+FROM s LEFT JOIN agg USING (conv_id)"""
+    think_parts = ("list_transform(list_filter(string_split(response, '<think>')[2:], "
+                   "lambda p: contains(p, '</think>')), lambda p: "
+                   + strip_sql("split_part(p, '</think>', 1)") + ")")
+    think = f"'<think>' || coalesce(array_to_string({think_parts}, ' '), '') || '</think>'"
+    final = _strip_re(strip_sql("split_part(string_split(response, '<answer>')[-1], "
+                                "'</answer>', 1)"), r"^Answer:\s*")
+    problem = strip_sql(_strip_re(_strip_re(strip_sql("string_split(response, '<think>')[1]"),
+                                            r"^Question:\s*"), r"\s*Answer:\s*$"))
+    request = (f"md5(replace(replace({_lit(pr.COT_REQUEST)}, '{{original_question}}', "
+               "coalesce(question, '')), '{original_answer}', coalesce(answer, '')))")
+    q["cot_records"] = f"""
+WITH parts AS (
+  SELECT conv_id,
+         arg_min(text, turn) FILTER (WHERE role = 'user') AS question,
+         arg_min(text, turn) FILTER (WHERE role = 'assistant') AS answer,
+         arg_min(text, turn) FILTER (WHERE turn = 3) AS extra
+  FROM conversations GROUP BY conv_id),
+raw AS (
+  SELECT conv_id, question, answer, length(question) AS width, length(answer) AS height,
+         'Question: ' || coalesce(question, '') || ' Answer: <think>' || coalesce(answer, '')
+         || '</think><think>' || coalesce(extra, '') || '</think><answer>Answer: '
+         || coalesce(split_part(answer, ' ', 1), '') || '</answer>' AS response
+  FROM parts),
+parsed AS (
+  SELECT conv_id, width, height, {problem} AS problem,
+         CASE WHEN contains(response, '<answer>')
+              THEN {think} || chr(10) || chr(10) || '<answer>' || {final} || '</answer>'
+              ELSE {think} END AS solution,
+         {request} AS request_md5
+  FROM raw)
+SELECT conv_id, problem, solution, request_md5 FROM parsed
+WHERE NOT regexp_matches(solution, '<[^>]+></[^>]+>') AND NOT contains(problem, 'Answer:')
+  AND height >= 28 AND width >= 28"""
+    return q
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
+    q.update(records_sql())
     q.update(grpo_sql())
     q.update(sampling_sql())
     q.update(evaluation_sql())
