@@ -55,7 +55,8 @@ def first_mentioned_class(text: Column | str, class_names: Sequence[str]) -> Col
     if not class_names:
         return F.lit(UNKNOWN)
     hit = F.regexp_extract(F.lower(text), class_alternation(class_names), 2)
-    return F.when(text.isNull() | (hit == ""), F.lit(UNKNOWN)).otherwise(hit)
+    # the regex appears once in the expression tree: no repeated evaluation per row
+    return F.coalesce(F.nullif(hit, F.lit("")), F.lit(UNKNOWN))
 
 
 def format_reward(text: Column | str) -> Column:

@@ -11,6 +11,7 @@ from . import rollup_plans as rup
 from . import sampling_plans as smp
 from . import grpo_plans as gp
 from . import records_plans as rcp
+from . import boxes_plans as bxp
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -41,5 +42,7 @@ def queries() -> dict[str, Plan]:
         "rl_examples": rcp.rl_examples,
         "conversation_prompts": rcp.conversation_prompts,
         "cot_records": rcp.cot_records,
+        "box_rewards": bxp.box_rewards,
+        "tile_plans": bxp.tile_plans,
     }
     return q

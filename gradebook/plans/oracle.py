@@ -351,8 +351,71 @@ WHERE NOT regexp_matches(solution, '<[^>]+></[^>]+>') AND NOT contains(problem,
     return q
 
 
+def boxes_sql() -> dict[str, str]:
+    from ..functions.vision import tile_grids
+
+    grids = ", ".join(f"({i}, {j}, {k})" for k, (i, j) in enumerate(tile_grids()))
+    quad = r"\[\d+,\s*\d+,\s*\d+,\s*\d+\]"
+    fmt_a = rf"(?s)<think>.*?</think>\s*<answer>.*?\{{.*{quad}.*\}}.*?</answer>"
+    fmt_b = rf"(?s)<think>.*?</think>\s*<answer>.*?{quad}.*?</answer>"
+    return {
+        "box_rewards": f"""
+WITH b AS (
+  SELECT l_orderkey, l_linenumber, l_returnflag,
+         l_linenumber * 10 AS x1, CAST(round(l_quantity) AS INTEGER) AS y1,
+         l_linenumber * 10 + 20 + CAST(round(l_tax * 100) AS INTEGER) AS x2,
+         CAST(round(l_quantity) AS INTEGER) + 10 + CAST(round(l_discount * 100) AS INTEGER) AS y2,
+         CAST(round(l_discount * 100) AS INTEGER) AS dx
+  FROM lineitem),
+p AS (SELECT *, x1 + dx AS px1, y1 + l_linenumber AS py1, x2 + 3 AS px2, y2 - 1 AS py2 FROM b),
+t AS (SELECT *, printf('[%d, %d, %d, %d]', px1, py1, px2, py2) AS pred,
+             greatest(px1, x1) AS ix1, greatest(py1, y1) AS iy1,
+             least(px2 - 1, x2 - 1) AS ix2, least(py2 - 1, y2 - 1) AS iy2 FROM p),
+u AS (SELECT *, CASE WHEN ix1 < ix2 AND iy1 < iy2 THEN (ix2 - ix1 + 1) * (iy2 - iy1 + 1)
+                     ELSE 0 END AS inter,
+             CASE l_returnflag WHEN 'R' THEN '<think>no box</think> ' || pred
+                  WHEN 'A' THEN '<think>found it</think>' || chr(10) || '<answer>' || pred || '</answer>'
+                  ELSE '<think>found it</think><answer>{{"bbox_2d": ' || pred || '}}</answer>' END
+               AS content
+      FROM t)
+SELECT l_orderkey, l_linenumber, l_returnflag,
+       CASE WHEN l_returnflag = 'R' THEN CAST(0.0 AS DOUBLE)
+            ELSE round(CAST(inter AS DOUBLE) / ((px2 - px1) * (py2 - py1) + (x2 - x1) * (y2 - y1)
+                       - inter), 9) END AS iou_reward,
+       CASE WHEN regexp_matches(content, {_lit(fmt_a)}) THEN {ONE} ELSE {ZERO} END
+         AS format_reward_a,
+       CASE WHEN regexp_matches(content, {_lit(fmt_b)}) THEN {ONE} ELSE {ZERO} END
+         AS format_reward_b
+FROM u""",
+        "tile_plans": f"""
+WITH p AS (SELECT p_partkey, p_size * 40 AS width, (51 - p_size) * 3 AS height FROM part),
+g AS (SELECT * FROM (VALUES {grids}) g(i, j, ord)),
+c AS (SELECT p.*, g.i, g.j, g.ord,
+             abs(CAST(width AS DOUBLE) / height - CAST(g.i AS DOUBLE) / g.j) AS d,
+             CAST(width AS DOUBLE) * height > CAST(100352.0 AS DOUBLE) * g.i * g.j AS cond
+      FROM p, g),
+m AS (SELECT p_partkey, min(d) AS md FROM c GROUP BY 1),
+f AS (SELECT c.p_partkey, min(ord) FILTER (WHERE d = md) AS first_ord,
+             max(ord) FILTER (WHERE d = md AND cond) AS cond_ord
+      FROM c JOIN m USING (p_partkey) GROUP BY 1),
+ch AS (SELECT p_partkey, greatest(first_ord, coalesce(cond_ord, first_ord)) AS ord FROM f)
+SELECT p.p_partkey, p.width, p.height, g.i AS cols, g.j AS rows, g.i * g.j AS blocks,
+       CASE WHEN g.i * g.j > 1 THEN g.i * g.j + 1 ELSE g.i * g.j END AS tiles,
+       CAST(CASE WHEN width < 28 OR height < 28 THEN
+              CASE WHEN width < height THEN 28
+                   ELSE floor(width * (CAST(28 AS DOUBLE) / height)) END
+            ELSE width END AS BIGINT) AS min_width,
+       CAST(CASE WHEN width < 28 OR height < 28 THEN
+              CASE WHEN width < height THEN floor(height * (CAST(28 AS DOUBLE) / width))
+                   ELSE 28 END
+            ELSE height END AS BIGINT) AS min_height
+FROM p JOIN ch USING (p_partkey) JOIN g USING (ord)""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
+    q.update(boxes_sql())
     q.update(records_sql())
     q.update(grpo_sql())
     q.update(sampling_sql())

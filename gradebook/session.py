@@ -64,5 +64,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
-    """Read one driver table (parquet)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read one driver table (parquet), spread over the cluster's cores if the scan would
+    not be.
+
+    A file with one row group is read by one task. When a scan yields fewer partitions
+    than the default parallelism, the rows are spread with a round-robin repartition so
+    the row-wise work after it (regexes, JSON) uses every core. On a large table the
+    scan already has far more partitions than cores and nothing is added.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df)
+
+
+def spread(df):
+    """Round-robin repartition only when the plan has fewer partitions than cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
