@@ -12,6 +12,7 @@ from . import sampling_plans as smp
 from . import grpo_plans as gp
 from . import records_plans as rcp
 from . import boxes_plans as bxp
+from . import math_plans as mp
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -44,5 +45,6 @@ def queries() -> dict[str, Plan]:
         "cot_records": rcp.cot_records,
         "box_rewards": bxp.box_rewards,
         "tile_plans": bxp.tile_plans,
+        "math_grades": mp.math_grades,
     }
     return q
