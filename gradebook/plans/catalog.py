@@ -13,6 +13,7 @@ from . import grpo_plans as gp
 from . import records_plans as rcp
 from . import boxes_plans as bxp
 from . import math_plans as mp
+from . import detection_plans as dtp
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -46,5 +47,11 @@ def queries() -> dict[str, Plan]:
         "box_rewards": bxp.box_rewards,
         "tile_plans": bxp.tile_plans,
         "math_grades": mp.math_grades,
+        "detection_pairs": dtp.detection_pairs,
+        "annotation_filter": dtp.annotation_filter,
+        "images_with_all_categories": dtp.images_with_all_categories,
+        "detection_matches": dtp.detection_matches,
+        "detection_precision": dtp.detection_precision,
+        "detection_summary": dtp.detection_summary,
     }
     return q

@@ -413,8 +413,61 @@ FROM p JOIN ch USING (p_partkey) JOIN g USING (ord)""",
     }
 
 
+DET = """
+li AS (SELECT *, l_orderkey * 100 + l_linenumber * 10 + row_number() OVER (
+                   PARTITION BY l_orderkey, l_linenumber
+                   ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
+                            l_returnflag, l_linestatus, l_shipdate) AS id
+       FROM lineitem),
+g AS (SELECT l_orderkey + 1 AS image_id, l_partkey % 3 + 1 AS category_id, id AS gt_id,
+             CAST(l_linenumber AS DOUBLE) * 12.0 AS x, l_quantity * 2.0 AS y,
+             l_quantity * 2.0 + 10.0 AS w, l_extendedprice / 1000.0 AS h,
+             CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 1 ELSE 0 END AS iscrowd
+      FROM li),
+d AS (SELECT l_orderkey + 1 AS image_id,
+             CASE WHEN l_returnflag = 'A' THEN (l_partkey + 1) % 3 + 1 ELSE l_partkey % 3 + 1 END
+               AS category_id,
+             id AS dt_id,
+             CAST(l_linenumber AS DOUBLE) * 12.0 + l_discount * 100.0 AS x,
+             l_quantity * 2.0 + l_tax * 40.0 AS y,
+             (l_quantity * 2.0 + 10.0) * (1.0 - l_discount) AS w,
+             (l_extendedprice / 1000.0) * (1.0 + l_tax) AS h,
+             (l_extendedprice % 1000.0) / 1000.0 AS score
+      FROM li)"""
+
+
+def detection_sql() -> dict[str, str]:
+    return {
+        "detection_pairs": f"""
+WITH {DET},
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, category_id
+                                                    ORDER BY score DESC, dt_id) - 1 AS dt_rank
+                       FROM d) WHERE dt_rank < 100),
+p AS (SELECT t.image_id, t.category_id, t.dt_id, g.gt_id, CAST(t.dt_rank AS INTEGER) AS dt_rank,
+             least(t.x + t.w, g.x + g.w) - greatest(t.x, g.x) AS iw,
+             least(t.y + t.h, g.y + g.h) - greatest(t.y, g.y) AS ih,
+             t.w * t.h AS da, g.w * g.h AS ga, g.iscrowd
+      FROM top t JOIN g USING (image_id, category_id)),
+q AS (SELECT *, CASE WHEN iw > 0 AND ih > 0 THEN iw * ih ELSE 0.0 END AS inter FROM p),
+u AS (SELECT *, CASE WHEN iscrowd <> 0 THEN da ELSE da + ga - inter END AS uni FROM q)
+SELECT image_id, category_id, dt_id, gt_id, dt_rank,
+       round(CASE WHEN uni > 0 THEN inter / uni ELSE 0.0 END, 9) AS iou
+FROM u""",
+        "annotation_filter": f"""
+WITH {DET}
+SELECT image_id, category_id, gt_id AS id, round(w * h, 9) AS area FROM g
+WHERE category_id IN (1, 2) AND w * h > 1024.0 AND w * h < 9216.0 AND iscrowd = 0""",
+        "images_with_all_categories": f"""
+WITH {DET}
+SELECT image_id FROM g WHERE category_id IN (1, 2, 3)
+GROUP BY image_id HAVING count(DISTINCT category_id) = 3
+   AND image_id IN (SELECT image_id FROM d)""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
+    q.update(detection_sql())
     q.update(boxes_sql())
     q.update(records_sql())
     q.update(grpo_sql())
