@@ -14,7 +14,7 @@ import duckdb
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from gradebook.session import TABLES, local_session  # noqa: E402
+from gradebook.session import TABLES, local_session  # noqa: E402,F401
 
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
