@@ -14,6 +14,7 @@ from . import records_plans as rcp
 from . import boxes_plans as bxp
 from . import math_plans as mp
 from . import detection_plans as dtp
+from . import probe_plans as pbp
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -53,5 +54,9 @@ def queries() -> dict[str, Plan]:
         "detection_matches": dtp.detection_matches,
         "detection_precision": dtp.detection_precision,
         "detection_summary": dtp.detection_summary,
+        "centroid_probe": pbp.centroid_probe,
+        "attention_pooling": pbp.attention_pooling,
+        "probe_cross_entropy": pbp.probe_cross_entropy,
+        "logistic_probe_epochs": pbp.logistic_probe_epochs,
     }
     return q

@@ -465,8 +465,72 @@ GROUP BY image_id HAVING count(DISTINCT category_id) = 3
     }
 
 
+EMB_SPLIT = """
+perm AS (SELECT vec_id, embedding, label,
+                row_number() OVER (ORDER BY md5(concat('42', ':', CAST(vec_id AS VARCHAR))), vec_id)
+                  AS pp,
+                count(*) OVER () AS n
+         FROM embeddings),
+sp AS (SELECT *, CASE WHEN pp <= floor(n * 0.1) THEN 'validation' ELSE 'train' END AS split
+       FROM perm),
+ex AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m
+       FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i
+             FROM sp WHERE split = 'train')
+       GROUP BY label, i),
+cent AS (SELECT label AS cl, list(m ORDER BY i) AS c FROM ex GROUP BY label)"""
+
+DIST = ("list_reduce(list_transform(list_zip({v}, {c}), lambda z: "
+        "(CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2])), lambda a, b: a + b)")
+
+
+def probe_sql() -> dict[str, str]:
+    dist = DIST.format(v="v.embedding", c="cent.c")
+    dist_c = DIST.format(v="sp.embedding", c="c")
+    return {
+        "centroid_probe": f"""
+WITH {EMB_SPLIT},
+d AS (SELECT v.vec_id, v.label, cent.cl, {dist} AS dist
+      FROM sp v, cent WHERE v.split = 'validation'),
+pred AS (SELECT vec_id, label, arg_min(cl, (dist, cl)) AS prediction FROM d GROUP BY vec_id, label)
+SELECT label, count(*) AS total_samples,
+       count(*) FILTER (WHERE prediction = label) AS correct_predictions
+FROM pred GROUP BY label""",
+        "attention_pooling": """
+WITH s AS (SELECT label, embedding,
+                  list_reduce(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 1.0),
+                              lambda a, b: a + b) / sqrt(64) AS sc
+           FROM embeddings),
+m AS (SELECT label, max(sc) AS mx FROM s GROUP BY label),
+w AS (SELECT s.label, s.embedding, exp(s.sc - m.mx) AS w FROM s JOIN m USING (label)),
+den AS (SELECT label, sum(w) AS den FROM w GROUP BY label),
+num AS (SELECT label, CAST(i - 1 AS INTEGER) AS dim, sum(w * CAST(x AS DOUBLE)) AS num
+        FROM (SELECT label, w, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i
+              FROM w)
+        GROUP BY label, i)
+SELECT label, dim, round(num / den, 6) AS value FROM num JOIN den USING (label)""",
+        "probe_cross_entropy": f"""
+WITH {EMB_SPLIT},
+cl AS (SELECT list(cl ORDER BY cl) AS labels, list(c ORDER BY cl) AS cs FROM cent),
+lg AS (SELECT sp.split, sp.vec_id,
+              list_transform(cl.cs, lambda c: -({dist_c})) AS logits,
+              list_position(cl.labels, sp.label) AS tpos
+       FROM sp, cl),
+ce AS (SELECT split, vec_id,
+              list_max(logits) + ln(list_reduce(list_transform(logits,
+                  lambda x: exp(x - list_max(logits))), lambda a, b: a + b)) - logits[tpos] AS ce
+       FROM lg),
+b AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY split ORDER BY vec_id) - 1) / 64)
+                     AS BIGINT) AS batch FROM ce),
+pb AS (SELECT split, batch, count(*) AS n, avg(ce) AS bl FROM b GROUP BY split, batch),
+ov AS (SELECT split, avg(bl) AS sl FROM pb GROUP BY split)
+SELECT split, batch, n, round(bl, 6) AS batch_loss, round(sl, 6) AS split_loss
+FROM pb JOIN ov USING (split)""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
+    q.update(probe_sql())
     q.update(detection_sql())
     q.update(boxes_sql())
     q.update(records_sql())
