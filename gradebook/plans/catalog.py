@@ -15,6 +15,7 @@ from . import boxes_plans as bxp
 from . import math_plans as mp
 from . import detection_plans as dtp
 from . import probe_plans as pbp
+from . import streaming_plans as stp
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -58,5 +59,8 @@ def queries() -> dict[str, Plan]:
         "attention_pooling": pbp.attention_pooling,
         "probe_cross_entropy": pbp.probe_cross_entropy,
         "logistic_probe_epochs": pbp.logistic_probe_epochs,
+        "stream_checkpoint_accuracy": stp.stream_checkpoint_accuracy,
+        "stream_metric_flush": stp.stream_metric_flush,
+        "stream_result_pickup": stp.stream_result_pickup,
     }
     return q

@@ -528,8 +528,20 @@ FROM pb JOIN ov USING (split)""",
     }
 
 
+def streaming_sql() -> dict[str, str]:
+    return {
+        "stream_checkpoint_accuracy": f"WITH {CURVE} SELECT * FROM curve",
+        "stream_metric_flush": """
+SELECT CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS hour, event_type AS name,
+       count(*) AS n, round(avg(value), 6) AS mean_value
+FROM events GROUP BY 1, 2""",
+        "stream_result_pickup": BEST,
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
+    q.update(streaming_sql())
     q.update(probe_sql())
     q.update(detection_sql())
     q.update(boxes_sql())
