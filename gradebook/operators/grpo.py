@@ -153,3 +153,26 @@ def loss_summary(rows: DataFrame) -> DataFrame:
         (F.sum("clipped_tokens") / F.sum("mask_len")).alias("clip_ratio"),
         F.count(F.lit(1)).alias("n_rows"),
         F.sum("mask_len").alias("n_masked_tokens"))
+
+
+def pad_sequences(df: DataFrame, ids: str, batch: str, pad: int, side: str = "right",
+                  out: str | None = None) -> DataFrame:
+    """Pad the id arrays of each batch to the batch's longest (prompts on the
+    left, completions on the right). A batch is bounded by the trainer's batch size."""
+    longest = df.groupBy(batch).agg(F.max(F.size(ids)).alias("_len"))
+    filler = F.array_repeat(F.lit(pad), F.col("_len") - F.size(ids))
+    padded = F.concat(filler, F.col(ids)) if side == "left" else F.concat(F.col(ids), filler)
+    return (df.join(longest, on=batch, how="inner")
+            .withColumn(out or ids, padded).drop("_len"))
+
+
+def clip_rows(df: DataFrame, order: str, max_samples: int | None = None,
+              tokens: str | None = None, cutoff_len: int | None = None) -> DataFrame:
+    """At most ``max_samples`` rows (the first in ``order`` – the cap is the
+    feature) and token arrays cut to ``cutoff_len``."""
+    out = df
+    if tokens and cutoff_len:
+        out = out.withColumn(tokens, F.slice(F.col(tokens), 1, cutoff_len))
+    if max_samples is not None:
+        out = out.orderBy(order).limit(max_samples)
+    return out

@@ -109,8 +109,9 @@ def run_grid(datasets: DataFrame, models: DataFrame, first: int, last: int,
     """Every (dataset, model, checkpoint step) of a sweep; both ends included.
     Both axis tables are small configuration lists, so the cross product is bounded."""
     grid = F.broadcast(datasets).crossJoin(F.broadcast(models))
-    return grid.withColumn("step", F.explode(F.sequence(F.lit(first), F.lit(last),
-                                                        F.lit(step))).cast("long"))
+    steps = F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"),
+                       F.lit(step).cast("long"))
+    return grid.withColumn("step", F.explode(steps))
 
 
 def missing_runs(expected: DataFrame, finished: DataFrame,
@@ -133,3 +134,26 @@ def load_by_ids(df: DataFrame, ids: Sequence, key: str, spark: SparkSession) ->
     # a filter predicate is always evaluated, so the check cannot be pruned away
     return (out.filter(F.coalesce(F.col("_hit"), missing.cast("boolean")))
             .orderBy("_pos").drop("_pos", "_hit"))
+
+
+def missing_paths(df: DataFrame, path_col: str, root: str) -> DataFrame:
+    """Rows whose (exploded) image path is not among the files under ``root``.
+
+    The listing is a ``binaryFile`` scan restricted to the ``path`` column (file
+    contents are never read); the check is an anti-join, so it scales with the number of
+    files rather than going through the driver.
+    """
+    spark = df.sparkSession
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+             .select(F.regexp_replace("path", r"^file:(//)?", "").alias("_p")))
+    paths = df.select("*", F.explode(F.col(path_col)).alias("_p"))
+    return paths.join(files, on="_p", how="left_anti").drop("_p")
+
+
+def require_paths(df: DataFrame, path_col: str, root: str) -> DataFrame:
+    """D5 as a contract: ``df`` unchanged, but evaluation fails if any path is missing."""
+    n_missing = missing_paths(df, path_col, root).agg(F.count(F.lit(1)).alias("_missing"))
+    fail = F.raise_error(F.lit("Image paths do not exist")).cast("boolean")
+    return (df.crossJoin(F.broadcast(n_missing))  # a one-row count
+            .filter(F.when(F.col("_missing") > 0, fail).otherwise(F.lit(True)))
+            .drop("_missing"))

@@ -329,3 +329,29 @@ def test_shuffle_positions_dense(spark):
     df = spark.range(1000).withColumnRenamed("id", "doc_id")
     pos = sorted(r.perm_pos for r in sampling.shuffle(df, "doc_id", 1, block_chars=1).collect())
     assert pos == list(range(1, 1001))
+
+
+def test_pad_and_clip(spark):
+    df = spark.createDataFrame([(0, [1, 2, 3]), (0, [4]), (1, [5, 6])], "b int, ids array<int>")
+    left = {tuple(r.ids) for r in grpo.pad_sequences(df, "ids", "b", 0, "left").collect()}
+    assert left == {(1, 2, 3), (0, 0, 4), (5, 6)}
+    clipped = grpo.clip_rows(df, "b", max_samples=2, tokens="ids", cutoff_len=2).collect()
+    assert len(clipped) == 2 and all(len(r.ids) <= 2 for r in clipped)
+
+
+def test_keypoint_similarity_matches_numpy(spark):
+    import numpy as np
+    from gradebook.operators import detection as det
+    rng = np.random.default_rng(1)
+    g = rng.uniform(0, 100, size=(17, 3)); g[:, 2] = rng.integers(0, 3, 17)
+    dkp = g.copy(); dkp[:, :2] += rng.normal(0, 3, size=(17, 2))
+    bbox, area = [10.0, 20.0, 50.0, 60.0], 3000.0
+    sig = np.array(det.KPT_OKS_SIGMAS); var = (sig * 2) ** 2
+    vis = g[:, 2] > 0
+    e = ((dkp[:, 0] - g[:, 0]) ** 2 + (dkp[:, 1] - g[:, 1]) ** 2) / var / (area + np.spacing(1)) / 2
+    want = np.sum(np.exp(-e[vis])) / vis.sum()
+    df = spark.createDataFrame([(dkp.ravel().tolist(), g.ravel().tolist(), bbox, area)],
+                               "d array<double>, g array<double>, b array<double>, a double")
+    got = df.select(det.keypoint_similarity(F.col("d"), F.col("g"), F.col("b"), F.col("a"))
+                    .alias("o")).collect()[0].o
+    assert abs(got - want) < 1e-12
