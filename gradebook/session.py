@@ -82,3 +82,11 @@ def spread(df):
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
+
+
+def reliable_checkpoint(df):
+    """``df.checkpoint()`` into the session's shared checkpoint folder (set only when
+    missing, as in tests). Cuts the lineage so later stages reread the written files
+    instead of recomputing them – also after an executor is lost."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
