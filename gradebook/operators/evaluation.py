@@ -58,7 +58,7 @@ def running_accuracy(df: DataFrame, by: Sequence[str], seq: str, gt: str = "grou
         df, by, [seq], numeric_block(seq, block_width),
         {"running_total": valid.cast("long"),
          "running_correct": (valid & (p == g)).cast("long")},
-        rank_col="position")
+        rank_col="position", levels=2)
     return out.withColumn(
         "running_accuracy", percent(F.col("running_correct"), F.col("running_total")))
 
@@ -68,7 +68,7 @@ def batch_accuracy(df: DataFrame, by: Sequence[str], seq: str, batch_size: int,
                    block_width: int = 4096) -> DataFrame:
     """F9 + E1: fixed-size consecutive batches in ``seq`` order (last may be short)."""
     ranked = running_totals(df, by, [seq], numeric_block(seq, block_width), {},
-                            rank_col="position")
+                            rank_col="position", levels=2)
     batched = ranked.withColumn(
         "batch", F.floor((F.col("position") - 1) / F.lit(batch_size)).cast("long"))
     return accuracy(batched, [*by, "batch"], gt, pred)

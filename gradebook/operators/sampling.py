@@ -21,7 +21,7 @@ def permutation_key(id_col: str, seed: int | str) -> Column:
     return F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.col(id_col).cast("string")))
 
 
-def shuffle(df: DataFrame, id_col: str, seed: int | str = 42, block_chars: int = 3,
+def shuffle(df: DataFrame, id_col: str, seed: int | str = 42, block_chars: int = 4,
             pos_col: str = "perm_pos") -> DataFrame:
     """Seeded full permutation; adds a 1-based ``perm_pos`` (ties broken by id)."""
     keyed = df.withColumn("_pkey", permutation_key(id_col, seed))

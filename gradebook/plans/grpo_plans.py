@@ -91,7 +91,8 @@ EOS_ID = TOKEN_IDS[EOS_TYPE]
 def token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
     tok = F.create_map(*[F.lit(x) for kv in TOKEN_IDS.items() for x in kv])
-    ranked = positions(ev, ["user_id"], ["event_id"], numeric_block("event_id", 1 << 16), "pos")
+    ranked = positions(ev, ["user_id"], ["event_id"], numeric_block("event_id", 1 << 16), "pos",
+                       levels=2)
     adv = ev.groupBy("user_id").agg(
         ((F.avg("value") - F.lit(50.0)) / F.lit(50.0)).alias("advantage"))
     return ranked.join(adv, on="user_id", how="inner").select(

@@ -52,7 +52,8 @@ def probe_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     logits = pb.class_logits(s, cents)
     target = F.array_position(F.col("class_labels"), F.col("label")) - 1
     rows = logits.select("split", "vec_id", pb.cross_entropy(F.col("logits"), target).alias("ce"))
-    ranked = positions(rows, ["split"], ["vec_id"], numeric_block("vec_id", 1 << 16), "pos")
+    ranked = positions(rows, ["split"], ["vec_id"], numeric_block("vec_id", 1 << 16), "pos",
+                       levels=2)
     batched = ranked.withColumn("batch", F.floor((F.col("pos") - 1) / F.lit(BATCH)).cast("long"))
     per_batch = batched.groupBy("split", "batch").agg(F.avg("ce").alias("batch_loss"),
                                                       F.count(F.lit(1)).alias("n"))

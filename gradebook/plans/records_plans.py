@@ -53,7 +53,8 @@ def _rl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     split = exact_split(docs, "doc_id", 0.1, 42).withColumn(
         "split", F.when(F.col("split") == "validation", F.lit("test")).otherwise(F.lit("train")))
-    idx = positions(split, ["split"], ["doc_id"], numeric_block("doc_id", 1 << 16), "pos")
+    idx = positions(split, ["split"], ["doc_id"], numeric_block("doc_id", 1 << 16), "pos",
+                    levels=2)
     ct = _classes_text(spark)
     rows = idx.join(labels, on="doc_id", how="left").crossJoin(F.broadcast(ct))
     i = F.col("pos") - 1
