@@ -32,6 +32,8 @@ def queries() -> dict[str, Plan]:
         "best_checkpoint": rup.best_checkpoint,
         "forgetting_curve": rup.forgetting_curve,
         "result_files_rollup": rup.result_files_rollup,
+        "result_tree_rollup": rup.result_tree_rollup,
+        "step_dir_curves": rup.step_dir_curves,
         "shuffled_documents": smp.shuffled_documents,
         "validation_split": smp.validation_split,
         "grouped_sample_stream": smp.grouped_sample_stream,

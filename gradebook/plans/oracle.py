@@ -118,6 +118,8 @@ SELECT c.exp, c.step, c.accuracy_percent, b.baseline_accuracy,
        round(c.accuracy_percent - b.baseline_accuracy, 2) AS accuracy_change
 FROM curve c JOIN base b USING (exp)""",
         "result_files_rollup": BEST,
+        "result_tree_rollup": BEST,
+        "step_dir_curves": f"WITH {CURVE} SELECT exp, step, accuracy_percent FROM curve",
     }
 
 

@@ -61,3 +61,29 @@ def result_files_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = rs.read_results(spark, path)
     return ev.best_per_experiment(back).select(
         "exp", "step", "accuracy_percent", "total_samples", "correct_predictions")
+
+
+def result_tree_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Step 5 (A3 in the evaluator's layout → A1 tree scan → E11): write one accuracy CSV
+    per checkpoint under ``<exp>/<n>_steps/``, walk the tree back and pick the best
+    checkpoint per experiment."""
+    base = scratch_path(spark, "result-tree")
+    rs.write_result_tree(checkpoint_curve(spark, sf_dir), base)
+    back = rs.scan_result_tree(spark, base)
+    return ev.best_per_experiment(back).select(
+        "exp", "step", "accuracy_percent", "total_samples", "correct_predictions")
+
+
+def step_dir_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Step 5 (A2 + G1): every experiment directory of the written tree read with the
+    one-level reader (``<x>_steps`` directly under the experiment directory)."""
+    base = scratch_path(spark, "result-tree")
+    curve = checkpoint_curve(spark, sf_dir)
+    rs.write_result_tree(curve, base)
+    exps = [r.exp for r in curve.select("exp").distinct().collect()]  # directory names
+    parts = [rs.scan_step_dir(spark, f"{base}/{e}").withColumn("exp", F.lit(e)) for e in exps]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("exp", F.col("step").cast("long").alias("step"),
+                      F.col("accuracy").alias("accuracy_percent"))

@@ -169,3 +169,42 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 def evaluation_sample(df: DataFrame, order_key: str, n: int = 100) -> DataFrame:
     """The first ``n`` rows in an explicit order (top-n, the feature itself)."""
     return df.orderBy(order_key).limit(n)
+
+
+def write_result_tree(df: DataFrame, base_dir: str, run_stamp: str = "00000000_000000") -> None:
+    """A3 in the evaluator's layout: ``<base>/<exp>/<n>_steps/<n>_steps_<stamp>_accuracy.csv``.
+
+    Spark writes one CSV file per (exp, step) partition in parallel; the driver then only
+    renames the partition directories and files (metadata operations through the
+    Hadoop file system, no data passes through the driver).
+    """
+    staged = (accuracy_record(df)
+              .withColumn("_dir", F.concat(F.col("step").cast("string"), F.lit("_steps")))
+              .repartition("exp", "_dir"))
+    tmp = base_dir.rstrip("/") + "/_spark_out"
+    (staged.drop("step").write.mode("overwrite").option("header", True)
+     .partitionBy("exp", "_dir").csv(tmp))
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(tmp)
+    fs = root.getFileSystem(conf)
+    for exp_status in fs.listStatus(root):
+        name = exp_status.getPath().getName()
+        if not exp_status.isDirectory() or not name.startswith("exp="):
+            continue
+        exp = name[len("exp="):]
+        for step_status in fs.listStatus(exp_status.getPath()):
+            sname = step_status.getPath().getName()
+            if not step_status.isDirectory() or not sname.startswith("_dir="):
+                continue
+            step_dir = sname[len("_dir="):]
+            target = jvm.org.apache.hadoop.fs.Path(f"{base_dir.rstrip('/')}/{exp}/{step_dir}")
+            fs.mkdirs(target)
+            parts = [s.getPath() for s in fs.listStatus(step_status.getPath())
+                     if s.getPath().getName().startswith("part-")]
+            for i, part in enumerate(sorted(parts, key=lambda p: p.getName())):
+                suffix = "" if i == 0 else f"_{i}"
+                fs.rename(part, jvm.org.apache.hadoop.fs.Path(
+                    target, f"{step_dir}_{run_stamp}{suffix}_accuracy.csv"))
+    # the emptied staging folder starts with "_", so file sources skip it
