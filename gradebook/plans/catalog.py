@@ -16,6 +16,7 @@ from . import math_plans as mp
 from . import detection_plans as dtp
 from . import probe_plans as pbp
 from . import streaming_plans as stp
+from . import names_plans as nmp
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -64,5 +65,6 @@ def queries() -> dict[str, Plan]:
         "stream_checkpoint_accuracy": stp.stream_checkpoint_accuracy,
         "stream_metric_flush": stp.stream_metric_flush,
         "stream_result_pickup": stp.stream_result_pickup,
+        "model_names": nmp.model_names,
     }
     return q

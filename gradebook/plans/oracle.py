@@ -541,8 +541,36 @@ FROM events GROUP BY 1, 2""",
     }
 
 
+def names_sql() -> dict[str, str]:
+    pat = r"((\d+(\.\d+)?)(x(\d+(\.\d+)?))?)([bm])"
+    n1 = r"CAST(regexp_extract(m, '^(\d+(\.\d+)?)', 1) AS DOUBLE)"
+    n2 = r"regexp_extract(m, 'x(\d+(\.\d+)?)', 1)"
+    value = (f"(CASE WHEN {n2} <> '' THEN {n1} * CAST({n2} AS DOUBLE) ELSE {n1} END) * "
+             "CASE WHEN m LIKE '%b' THEN 1e9 ELSE 1e6 END")
+    return {
+        "model_names": f"""
+WITH p AS (SELECT p_partkey, p_type,
+                  p_brand || '/' || replace(p_name, ' ', '-') || '-' || CAST(p_size AS VARCHAR) || 'b'
+                    AS model_id
+           FROM part)
+SELECT p_partkey, model_id,
+       coalesce(CASE lower(trim(model_id))
+                  WHEN 'qwen2.5vl-3b-instruct' THEN 'Qwen/Qwen2.5-VL-3B-Instruct'
+                  WHEN 'qwen2vl-2b-instruct' THEN 'Qwen/Qwen2-VL-2B-Instruct'
+                  WHEN 'qwen2vl-2b' THEN 'Qwen/Qwen2-VL-2B'
+                  WHEN 'visualthinker' THEN 'turningpoint-ai/VisualThinker-R1-Zero' END,
+                model_id) AS resolved_id,
+       coalesce(CAST(trunc(list_max(list_transform(
+                    regexp_extract_all(lower(model_id), '{pat}', 0), lambda m: {value})))
+                AS BIGINT), -1) AS param_count,
+       replace(model_id, '/', '_') || '_' || lower(p_type) || '_20250813_103037' AS run_name
+FROM p""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
+    q.update(names_sql())
     q.update(streaming_sql())
     q.update(probe_sql())
     q.update(detection_sql())
