@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -199,6 +198,3 @@ def expand_image_tokens(prompt: Column | str, patches: Column | str,
     joined = F.array_join(F.zip_with(pieces, padded, lambda a, b: F.concat(a, b)), "")
     return F.when(n_tags == F.size(_c(patches)), joined)
 
-
-def param_sequences(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])

@@ -8,7 +8,6 @@ tasks (md5 is uniform, blocks are balanced) and no task holds the whole table.
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,6 +96,3 @@ def distinct_sorted(df: DataFrame, col: str) -> DataFrame:
     """H4: distinct values, sorted."""
     return df.select(col).distinct().orderBy(col)
 
-
-def expected_batches(n: int, batch_size: int) -> int:
-    return math.floor(n / batch_size)

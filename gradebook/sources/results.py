@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import UNKNOWN_EXP, pick_column
-from ..functions.text import MODEL_ERROR  # noqa: F401  (documented sentinel)
 
 RESULT_SCHEMA = T.StructType([
     T.StructField("exp", T.StringType()),

@@ -1,12 +1,10 @@
 """Hand-made edge cases (FIXTURES.md §3) and plain-Python restatements of the rules."""
 
-import os
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gradebook.functions import cot, names, prompts, rewards, text, vision
 from gradebook.functions.math_answer import grade, normalise_latex
