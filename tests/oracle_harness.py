@@ -42,7 +42,7 @@ def _key(row):
     return tuple((x is None, str(type(x)), str(x)) for x in row)
 
 
-def compare(spark, con, name: str, plan, sql: str, sf_dir: str, digits: int = 6):
+def compare(spark, con, name: str, plan, sql: str, sf_dir: str, digits: int = int(os.environ.get("ORACLE_DIGITS", "6"))):
     t0 = time.time()
     sdf = plan(spark, sf_dir)
     s_cols = sdf.columns
