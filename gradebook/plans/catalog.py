@@ -29,6 +29,7 @@ def queries() -> dict[str, Plan]:
         "language_report": evp.language_report,
         "running_accuracy": evp.running_accuracy_by_source,
         "batch_accuracy": evp.batch_accuracy_by_source,
+        "predictions_file_round_trip": evp.predictions_file_round_trip,
         "checkpoint_curve": rup.checkpoint_curve,
         "best_checkpoint": rup.best_checkpoint,
         "forgetting_curve": rup.forgetting_curve,

@@ -74,3 +74,23 @@ def batch_accuracy_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ev.batch_accuracy(predictions(spark, sf_dir), ["source"], "doc_id", batch_size=8)
     return out.select("source", "batch", "total_samples", "correct_predictions",
                       "accuracy_percent")
+
+
+def predictions_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: write the prediction file (ground truth, prediction, whole generated text)
+    to the shared checkpoint folder and read it back; each text is fingerprinted so the
+    round trip of multi-line, quoted texts is checked byte for byte."""
+    from ..session import scratch_path
+    from ..sources import results as rs
+
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    preds = docs.select(
+        F.coalesce(lang_class("lang"), F.lit("")).alias("ground_truth"),
+        first_mentioned_class("text", CLASS_NAMES).alias("prediction"),
+        F.col("text").alias("generated_text"))
+    path = scratch_path(spark, "predictions")
+    rs.write_predictions(preds, path)
+    back = rs.read_predictions(spark, path)
+    return back.select("ground_truth", "prediction",
+                       F.md5("generated_text").alias("text_md5"),
+                       F.length("generated_text").alias("text_chars"))

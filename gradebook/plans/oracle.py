@@ -86,6 +86,10 @@ b AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_
 agg AS (SELECT source, batch, {ACCURACY_AGGS} FROM b GROUP BY source, batch)
 SELECT source, batch, total_samples, correct_predictions,
        {_acc_cols()} AS accuracy_percent FROM agg"""
+    q["predictions_file_round_trip"] = f"""
+WITH {PREDICTIONS.replace('SELECT doc_id, source, lang,', 'SELECT doc_id, source, lang, text,')}
+SELECT ground_truth, prediction, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS text_chars
+FROM predictions"""
     return q
 
 
