@@ -115,19 +115,19 @@ def logistic_probe(train: DataFrame, val: DataFrame, epochs: list[int],
     from pyspark.ml.functions import array_to_vector
 
     spark = train.sparkSession
-    tr = train.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"),
-                      F.col(label).cast("double").alias("label"))
-    va = val.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"),
-                    F.col(label).cast("double").alias("label"))
+    def features(df: DataFrame, part: str) -> DataFrame:
+        return df.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"),
+                         F.col(label).cast("double").alias("label"), F.lit(part).alias("part"))
+
+    tr = features(train, "train")
+    both = tr.unionByName(features(val, "val"))
     rows = []
     for e in epochs:
         model = LogisticRegression(family="multinomial", maxIter=e, regParam=reg_param).fit(tr)
-        acc = []
-        for part in (tr, va):
-            pred = model.transform(part)
-            acc.append(pred.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")))
-                       .first()[0])
-        rows.append((e, float(acc[0]), float(acc[1])))
+        hit = (F.col("prediction") == F.col("label")).cast("double")
+        acc = {r["part"]: r["acc"] for r in
+               model.transform(both).groupBy("part").agg(F.avg(hit).alias("acc")).collect()}
+        rows.append((e, float(acc.get("train", 0.0)), float(acc.get("val", 0.0))))
     return spark.createDataFrame(rows, "epoch int, train_accuracy double, val_accuracy double")
 
 
