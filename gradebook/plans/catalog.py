@@ -36,6 +36,7 @@ def queries() -> dict[str, Plan]:
         "result_files_rollup": rup.result_files_rollup,
         "result_tree_rollup": rup.result_tree_rollup,
         "step_dir_curves": rup.step_dir_curves,
+        "missing_run_report": rup.missing_run_report,
         "shuffled_documents": smp.shuffled_documents,
         "validation_split": smp.validation_split,
         "grouped_sample_stream": smp.grouped_sample_stream,

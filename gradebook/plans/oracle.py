@@ -124,6 +124,17 @@ FROM curve c JOIN base b USING (exp)""",
         "result_files_rollup": BEST,
         "result_tree_rollup": BEST,
         "step_dir_curves": f"WITH {CURVE} SELECT exp, step, accuracy_percent FROM curve",
+        "missing_run_report": f"""
+WITH {CURVE},
+span AS (SELECT min(step) AS lo, max(step) AS hi FROM curve),
+expected AS (SELECT e.exp, s.step FROM (SELECT DISTINCT exp FROM curve) e,
+             (SELECT unnest(range(lo, hi + 1)) AS step FROM span) s),
+missing AS (SELECT * FROM expected EXCEPT SELECT exp, step FROM curve)
+SELECT e.exp, e.n AS expected_runs, coalesce(f.n, 0) AS finished_runs,
+       coalesce(m.n, 0) AS missing_runs
+FROM (SELECT exp, count(*) AS n FROM expected GROUP BY exp) e
+LEFT JOIN (SELECT exp, count(*) AS n FROM curve GROUP BY exp) f USING (exp)
+LEFT JOIN (SELECT exp, count(*) AS n FROM missing GROUP BY exp) m USING (exp)""",
     }
 
 

@@ -87,3 +87,25 @@ def step_dir_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = out.unionByName(p)
     return out.select("exp", F.col("step").cast("long").alias("step"),
                       F.col("accuracy").alias("accuracy_percent"))
+
+
+def missing_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sweep is every experiment × every daily checkpoint between the first and
+    the last day of the table; finished runs are the checkpoints with results. Per
+    experiment: expected, finished and missing runs (expected minus finished, an
+    anti-join)."""
+    from ..operators.records import missing_runs
+
+    curve = checkpoint_curve(spark, sf_dir).select("exp", "step")
+    span = curve.agg(F.min("step").alias("lo"), F.max("step").alias("hi"))  # one row
+    exps = curve.select("exp").distinct()
+    expected = (exps.crossJoin(F.broadcast(span))
+                .select("exp", F.explode(F.sequence("lo", "hi")).alias("step")))
+    missing = missing_runs(expected, curve, ["exp", "step"])
+    per_exp = lambda df, name: df.groupBy("exp").agg(F.count(F.lit(1)).alias(name))
+    return (per_exp(expected, "expected_runs")
+            .join(per_exp(curve, "finished_runs"), on="exp", how="left")
+            .join(per_exp(missing, "missing_runs"), on="exp", how="left")
+            .select("exp", "expected_runs",
+                    F.coalesce("finished_runs", F.lit(0)).alias("finished_runs"),
+                    F.coalesce("missing_runs", F.lit(0)).alias("missing_runs")))
