@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import UNKNOWN_EXP, pick_column
+from ..functions.names import parse_experiment, parse_step, pick_column
 
 RESULT_SCHEMA = T.StructType([
     T.StructField("exp", T.StringType()),
@@ -66,9 +66,8 @@ def scan_result_tree(spark: SparkSession, base_dir: str) -> DataFrame:
     staged = (raw.withColumn("_rel", rel)
               .withColumn("_stepdir", F.when(n_dirs >= 1, step_dir))
               .filter(F.col("_stepdir").rlike(r"^\d+_steps$"))
-              .withColumn("step", F.regexp_extract("_stepdir", r"^(\d+)_steps$", 1).cast("long"))
-              .withColumn("exp", F.when(n_dirs >= 2, parts.getItem(0))
-                          .otherwise(F.lit(UNKNOWN_EXP)))
+              .withColumn("step", parse_step(path))  # B14, strict digits
+              .withColumn("exp", parse_experiment(path, base))  # B15
               .withColumn("_dir", F.regexp_replace("_rel", "/[^/]*$", "")))
     resolved = staged.select(
         "exp", "step", "_dir", "csv_path",
