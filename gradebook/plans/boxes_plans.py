@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rewards import with_iou_reward
 from ..functions.text import format_reward_rec
+from ..functions.prompts import expand_image_tokens
 from ..functions.vision import min_size, plan_tiles
 from ..session import table
 
@@ -67,3 +68,19 @@ def tile_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
         plan["cols"].alias("cols"), plan["rows"].alias("rows"), plan["blocks"].alias("blocks"),
         F.when(plan["blocks"] > 1, plan["blocks"] + 1).otherwise(plan["blocks"]).alias("tiles"),
         fixed["width"].alias("min_width"), fixed["height"].alias("min_height"))
+
+
+TOKENS_PER_PATCH = 4
+
+
+def image_token_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B22 on top of B23: each part image's prompt gets its ``<image>`` placeholder
+    expanded to start + context tokens × (tokens per patch × tiles) + end, the tile
+    count coming from the tile planner."""
+    plans = tile_plans(spark, sf_dir).select("p_partkey", "tiles")
+    names = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    prompt = F.concat(F.lit("<image>\nDescribe "), F.col("p_name"))
+    expanded = expand_image_tokens(prompt, F.array(F.col("tiles")), TOKENS_PER_PATCH)
+    return plans.join(names, on="p_partkey").select(
+        "p_partkey", "tiles", F.length(expanded).alias("query_chars"),
+        F.md5(expanded).alias("query_md5"))

@@ -53,6 +53,7 @@ def queries() -> dict[str, Plan]:
         "cot_records": rcp.cot_records,
         "box_rewards": bxp.box_rewards,
         "tile_plans": bxp.tile_plans,
+        "image_token_prompts": bxp.image_token_prompts,
         "math_grades": mp.math_grades,
         "detection_pairs": dtp.detection_pairs,
         "annotation_filter": dtp.annotation_filter,

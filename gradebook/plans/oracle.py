@@ -583,8 +583,22 @@ FROM p""",
     }
 
 
+def image_tokens_sql() -> dict[str, str]:
+    tiles = boxes_sql()["tile_plans"]
+    expanded = ("'<img>' || repeat('<IMG_CONTEXT>', 4 * tp.tiles) || '</img>' || chr(10) || "
+                "'Describe ' || p.p_name")
+    return {
+        "image_token_prompts": f"""
+WITH tp AS ({tiles})
+SELECT tp.p_partkey, tp.tiles, CAST(length({expanded}) AS INTEGER) AS query_chars,
+       md5({expanded}) AS query_md5
+FROM tp JOIN part p USING (p_partkey)""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
+    q.update(image_tokens_sql())
     q.update(names_sql())
     q.update(streaming_sql())
     q.update(probe_sql())
