@@ -33,7 +33,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_name
+from .shared import free_name, stored
 from .textstats import mix, utf8
 
 ORDER = 5
@@ -313,7 +313,7 @@ def fit(docs: DataFrame) -> Model | None:
     """Fit and calibrate the model; None without labelled rows."""
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()
                         & F.col("text").isNotNull())
-    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = stored(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "lang-sizes")
     def uniform(start: int) -> Column:
         return F.conv(F.substring(F.md5("text"), start, 8), 16, 10).cast("double") / 2.0**32
     sample = usable.select("lang", "text").join(sizes, "lang").withColumn(
