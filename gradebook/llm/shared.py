@@ -7,7 +7,9 @@ the stages before them. Nothing here touches a machine-local folder on a cluster
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,9 +64,10 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished steps.
 
     The cleaner acts when the JVM has collected a step's plan; in a short driver program
-    that may be never, and all steps' shuffle files would stay until the end.
+    that may be never, and all steps' shuffle files would stay until the end. The first
+    round frees what Python still names, the second what the JVM held for it.
     """
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
