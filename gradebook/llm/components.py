@@ -29,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, label`` (the component's smallest node) of every node of ``edges`` (a, b).
 
     The rounds end when the edges no longer change; their number grows with the logarithm of
-    the longest path, squared at worst. Each round is a stored table, so its lineage is cut.
+    the longest path, squared at worst. Every other round is a stored table, so lineage is cut.
     """
     edges = stored(edges.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
@@ -40,6 +40,6 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == before:
             break
         before = mark
-        edges = stored(_stars(edges), "stars")
+        edges = stored(_stars(_stars(edges)), "stars")
     labels = edges.select(F.col("hi").alias("node"), F.col("lo").alias("label"))
     return labels.unionByName(labels.select(F.col("label").alias("node"), "label")).distinct()

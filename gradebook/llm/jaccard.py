@@ -11,11 +11,14 @@ link when ``100 * |intersection| >= THRESHOLD * |union|``.
    ``n - ceil(0.8 n) + 1`` shingles of its order: linked sets must share one of them.
 3. Per posted shingle the sets are ordered by size. A first round verifies only neighbours in
    that order and the smallest set (linear in the postings); its links form components.
-4. A second round takes every other pair of sets that share a posted shingle and lie in
-   different components, under the length filter and the positional filter. After it no
+4. Up to ``TURNS`` further linear rounds take neighbours of different components in a random
+   order, so that large groups of near copies become one component without all their pairs.
+   The last round takes every pair of sets that share a posted shingle and still lie in
+   different components, under the length filter, the positional filter and the suffix filter
+   (a lower bound of the sets' difference from their counts in ``RANGES`` hash ranges). Only
+   pairs that pass leave the task. After it no
    candidate pair that could join two components is unverified, so components are exact.
-5. Verification fetches both sets once per distinct pair, bounds the overlap by comparing
-   counts in hash ranges (suffix filter), and then intersects.
+5. Verification fetches both sets once per distinct pair and intersects them.
 
 Shingles and sets are compared by 64-bit hashes.
 
@@ -35,14 +38,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import free_name, stored
+from .shared import free_name, release, stored
 from .textstats import inner_shingles, mix, shingle_sets, utf8
 
 THRESHOLD = 80
+TURNS = 1
+RANGES = 128
 BUCKET_BITS = 22
 CHUNKS = 64
 COUNT = "chunk int, counts binary"
-SKETCH = "doc_id long, n long, sid long, keys array<long>"
+SKETCH = "doc_id long, n long, sid long, keys array<long>, ranges binary"
 SET = "sid long, elements binary"
 
 
@@ -91,6 +96,13 @@ def set_id(elements: np.ndarray) -> int:
     return int(mix(np.array([total + np.uint64(len(elements))]))[0].view(np.int64))
 
 
+def range_counts(elements: np.ndarray) -> bytes:
+    """Elements per hash range, 16 bits each; a fuller range counts as full (still a bound)."""
+    shift = np.uint64(64 - (RANGES - 1).bit_length())
+    counts = np.bincount((elements >> shift).astype(np.int64), minlength=RANGES)
+    return np.minimum(counts, 0xFFFF).astype(np.uint16).tobytes()
+
+
 def prefix_length(n: int) -> int:
     return n - -(-THRESHOLD * n // 100) + 1
 
@@ -103,7 +115,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            sizes, ids, keys = [], [], []
+            sizes, ids, keys, ranges = [], [], [], []
             for elements in shingle_sets(*utf8(batch.column(1))):
                 n = len(elements)
                 sizes.append(n)
@@ -113,11 +125,14 @@ def sketches(docs: DataFrame) -> DataFrame:
                     seen.add(sid)
                     order = np.lexsort((elements, counts.value[_bucket(elements)]))
                     keys.append(elements[order[:prefix_length(n)]].view(np.int64))
+                    ranges.append(range_counts(elements))
                 else:
                     keys.append(None)
+                    ranges.append(None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "sid", "keys"])
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(ranges, pa.binary())],
+                names=["doc_id", "n", "sid", "keys", "ranges"])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, SKETCH)
 
@@ -156,19 +171,92 @@ def near_pairs(posts: DataFrame) -> DataFrame:
     return _distinct_pairs(pairs.select(F.col("sid").alias("a"), F.col("o.sid").alias("b")))
 
 
-def cross_pairs(posts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of sets of different components that share a posted shingle."""
+def mixed_postings(posts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Postings (with their set's component) of shingles that several components post."""
     labelled = posts.select("key", "sid", "n", "pos").join(
         labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
         "label", F.coalesce("label", "sid"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-    labelled = labelled.join(mixed.where("x <> y").select("key"), "key", "left_semi")
-    a = labelled.select("key", *[F.col(c).alias(f"a_{c}") for c in ("sid", "n", "pos", "label")])
-    b = labelled.select("key", *[F.col(c).alias(f"b_{c}") for c in ("sid", "n", "pos", "label")])
-    pairs = a.join(b, "key").where(
-        (F.col("a_sid") < F.col("b_sid")) & (F.col("a_label") != F.col("b_label"))
-        & _may_link(F.col("a_n"), F.col("a_pos"), F.col("b_n"), F.col("b_pos")))
-    return _distinct_pairs(pairs.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")))
+    return labelled.join(mixed.where("x <> y").select("key"), "key", "left_semi")
+
+
+def next_pairs(mixed: DataFrame, turn: int) -> DataFrame:
+    """Pairs of different components that stand next to each other in a random order of a
+    shingle's sets (another order in each turn)."""
+    order = Window.partitionBy("key").orderBy(F.xxhash64("sid", F.lit(turn)), "sid")
+    other = F.lag(F.struct("sid", "n", "pos", "label")).over(order)
+    pairs = mixed.withColumn("o", other).where(
+        (F.col("o.label") != F.col("label"))
+        & _may_link(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos")))
+    return _distinct_pairs(pairs.select(F.col("sid").alias("a"), F.col("o.sid").alias("b")))
+
+
+def _need(n1, n2):
+    """Common elements that sets of these sizes need to link."""
+    return -(-THRESHOLD * (n1 + n2) // (100 + THRESHOLD))
+
+
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components among the sets of each shingle (rows sorted by shingle
+    and size) that pass the length, positional and suffix filters."""
+    def pairs_of(table: pa.Table) -> pa.RecordBatch:
+        key, sid, n, pos, label = (table.column(c).to_numpy() for c in (
+            "key", "sid", "n", "pos", "label"))
+        ranges = np.frombuffer(b"".join(table.column("ranges").to_pylist()), np.uint16).reshape(
+            -1, RANGES).astype(np.int32)
+        ends = np.searchsorted(key, key, "right")
+        left, right = [], []
+        for i in range(len(key)):
+            high = i + 1 + int(np.searchsorted(
+                n[i + 1:ends[i]] * THRESHOLD, 100 * n[i], "right"))
+            for at in range(i + 1, high, 8192):
+                j = np.arange(at, min(high, at + 8192))
+                need = _need(n[i], n[j])
+                j = j[(label[j] != label[i]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)]
+                apart = np.abs(ranges[j] - ranges[i]).sum(1)
+                j = j[n[i] + n[j] - apart >= 2 * _need(n[i], n[j])]
+                left.append(np.minimum(sid[j], sid[i]))
+                right.append(np.maximum(sid[j], sid[i]))
+        both = np.stack([np.concatenate(left or [sid[:0]]), np.concatenate(right or [sid[:0]])])
+        both = np.unique(both, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = pa.Table.from_batches([batch])
+        held = own if held is None else pa.concat_tables([held, own])
+        key = held.column("key").to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut:
+            yield pairs_of(held.slice(0, cut))
+            held = held.slice(cut)
+    if held is not None:
+        yield pairs_of(held)
+
+
+def cross_pairs(mixed: DataFrame, ranges: DataFrame) -> DataFrame:
+    """All pairs of sets of different components that share a posted shingle and may link."""
+    rows = mixed.join(ranges, "sid").select("key", "sid", "n", "pos", "label", "ranges")
+    return rows.repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(
+        _cross, "a long, b long").distinct()
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after more links: components of the graph whose nodes are components."""
+    of = labels.select("node", "label")
+    ends = links.join(of.toDF("a", "la"), "a", "left").join(of.toDF("b", "lb"), "b", "left")
+    ends = ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    moved = components(ends)
+    old = labels.join(moved.toDF("label", "new"), "label", "left").select(
+        "node", F.coalesce("new", "label").alias("label"))
+    fresh = moved.join(labels.select("node"), "node", "left_anti")
+    return stored(old.unionByName(fresh), "jaccard-labels")
+
+
+def _members(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
 
 
 def set_table(docs: DataFrame, sketch: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -193,14 +281,8 @@ def set_table(docs: DataFrame, sketch: DataFrame, wanted: DataFrame) -> DataFram
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether two sorted sets reach the threshold; ranges of the hashes bound it first."""
+    """Whether two sorted sets reach the threshold."""
     total = len(x) + len(y)
-    need = -(-THRESHOLD * total // (100 + THRESHOLD))
-    cuts = np.arange(1, 8, dtype=np.uint64) << np.uint64(61)
-    in_x = np.diff(np.concatenate([[0], np.searchsorted(x, cuts), [len(x)]]))
-    in_y = np.diff(np.concatenate([[0], np.searchsorted(y, cuts), [len(y)]]))
-    if np.minimum(in_x, in_y).sum() < need:
-        return False
     both = np.concatenate([x, y])
     both.sort(kind="stable")
     same = int((both[1:] == both[:-1]).sum())
@@ -223,15 +305,34 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
+    spark = docs.sparkSession
+
     sketch = stored(sketches(docs), "jaccard-sketch")
     posts = stored(shared_postings(sketch), "jaccard-posts")
-    sets = stored(set_table(docs, sketch, posts.select("sid").distinct()), "jaccard-sets")
-    first = stored(verified(near_pairs(posts), sets), "jaccard-links")
-    labels = components(first)
-    rest = cross_pairs(posts, labels)
-    second = stored(verified(rest, sets), "jaccard-links")
-    if not second.isEmpty():
-        labels = components(first.unionByName(second))
+    release(spark)
+    pairs = stored(near_pairs(posts), "jaccard-pairs")
+    sets = stored(set_table(docs, sketch, _members(pairs)), "jaccard-sets")
+    release(spark)
+    links = stored(verified(pairs, sets), "jaccard-links")
+    release(spark)
+    labels = components(links)
+    mixed = stored(mixed_postings(posts, labels), "jaccard-mixed")
+    more = mixed.select("sid").distinct().join(sets.select("sid"), "sid", "left_anti")
+    sets = sets.unionByName(stored(set_table(docs, sketch, more), "jaccard-sets"))
+    release(spark)
+    for turn in range(TURNS):
+        found = stored(verified(next_pairs(mixed, turn), sets), "jaccard-links")
+        if found.isEmpty():
+            break
+        labels = merged(labels, found)
+        mixed = stored(mixed_postings(mixed, labels), "jaccard-mixed")
+    release(spark)
+    ranges = sketch.where("ranges is not null").join(
+        mixed.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(
+        F.min("ranges").alias("ranges"))
+    found = stored(verified(cross_pairs(mixed, ranges), sets), "jaccard-links")
+    if not found.isEmpty():
+        labels = merged(labels, found)
     groups = sketch.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
     groups = groups.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
         "label", F.coalesce("label", "sid"))
