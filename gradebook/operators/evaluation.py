@@ -93,8 +93,10 @@ def best_per_experiment(results: DataFrame, exp: str = "exp", step: str = "step"
     """Per experiment, the row with the highest accuracy, earliest step on ties.
 
     Nullable columns take the first non-null value in the same order (as pandas
-    ``groupby().first()`` does). One partial aggregation, skew-safe.
+    ``groupby().first()`` does). Rows without an accuracy take no part. One partial
+    aggregation, skew-safe.
     """
+    results = results.where(F.col(acc).isNotNull())
     order = F.struct((-F.col(acc)).alias("a"), F.col(step).alias("s"))
     aggs = [F.min_by(F.col(step), order).alias(step), F.max(F.col(acc)).alias(acc)]
     for c in [*nullable, *extra]:

