@@ -360,8 +360,7 @@ def test_rows_with_null_key_or_order_keep_their_place(spark):
 
     df = spark.createDataFrame([("a", 1), (None, 2), ("a", None)], "k string, v long")
     got = positions(df, ["k"], ["v"], numeric_block("v", 10)).collect()
-    assert sorted((str(r.k), r.pos) for r in got) == [("None", 1), ("a", 1), ("a", 1)] or \
-        len(got) == 3
+    assert len(got) == 3 and {r.pos for r in got if r.k is None} == {1}
 
 
 def test_best_checkpoint_ignores_null_accuracy(spark):
