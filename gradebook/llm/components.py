@@ -25,21 +25,26 @@ def _stars(edges: DataFrame) -> DataFrame:
     return moved.unionByName(small.select("hi", F.col("m").alias("lo"))).distinct()
 
 
+def _finished(edges: DataFrame) -> bool:
+    """Whether every component is a star: no node is the higher end of two edges, or the higher
+    end of one edge and the lower end of another. The centre is then its smallest node."""
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+        F.struct(F.col("lo").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")),
+    )).alias("e")).select("e.*")
+    roles = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return roles.where(F.col("up") + F.col("down") > 1).where("up > 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` (the component's smallest node) of every node of ``edges`` (a, b).
 
-    The rounds end when the edges no longer change; their number grows with the logarithm of
-    the longest path, squared at worst. Every other round is a stored table, so lineage is cut.
+    The rounds end when all components are stars; their number grows with the logarithm of
+    the longest path, squared at worst. Every round is a stored table, so lineage is cut.
     """
     edges = stored(edges.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
-    before = None
-    while True:
-        mark = edges.agg(F.count(F.lit(1)), F.sum(
-            F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if mark == before:
-            break
-        before = mark
-        edges = stored(_stars(_stars(edges)), "stars")
+    while not _finished(edges):
+        edges = stored(_stars(edges), "stars")
     labels = edges.select(F.col("hi").alias("node"), F.col("lo").alias("label"))
     return labels.unionByName(labels.select(F.col("label").alias("node"), "label")).distinct()
