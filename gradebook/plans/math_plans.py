@@ -35,4 +35,4 @@ def math_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Step 11: grade per line (C7 boxed extraction, C8 normalisation, C9 comparison)."""
     m = math_answers(spark, sf_dir)
     return m.select("l_orderkey", "l_linenumber", "answer", "truth",
-                    grade_math("answer", "truth").alias("grade"))
+                    grade_math(F.col("answer"), F.col("truth")).alias("grade"))
