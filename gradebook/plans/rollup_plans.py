@@ -78,13 +78,8 @@ def step_dir_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Step 5 (A2 + G1): every experiment directory of the written tree read with the
     one-level reader (``<x>_steps`` directly under the experiment directory)."""
     base = scratch_path(spark, "result-tree")
-    curve = checkpoint_curve(spark, sf_dir)
-    rs.write_result_tree(curve, base)
-    exps = [r.exp for r in curve.select("exp").distinct().collect()]  # directory names
-    parts = [rs.scan_step_dir(spark, f"{base}/{e}").withColumn("exp", F.lit(e)) for e in exps]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    rs.write_result_tree(checkpoint_curve(spark, sf_dir), base)
+    out = rs.scan_step_dirs(spark, base)
     return out.select("exp", F.col("step").cast("long").alias("step"),
                       F.col("accuracy").alias("accuracy_percent"))
 

@@ -13,11 +13,13 @@ are read by the executors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import parse_experiment, parse_step, pick_column
+from ..functions.names import parse_experiment, parse_step, parse_step_loose
 
 RESULT_SCHEMA = T.StructType([
     T.StructField("exp", T.StringType()),
@@ -34,52 +36,66 @@ TOTAL_COLUMNS = ["total_samples", "total", "n", "num_samples"]
 CORRECT_COLUMNS = ["correct_predictions", "correct", "num_correct"]
 
 
-def _read_accuracy_csvs(spark: SparkSession, base_dir: str, recursive: bool) -> DataFrame:
-    reader = (spark.read.option("header", True).option("pathGlobFilter", "*_accuracy.csv")
-              .option("recursiveFileLookup", recursive))
-    path = base_dir if recursive else f"{base_dir.rstrip('/')}/*_steps"
-    return reader.csv(path).withColumn("csv_path", F.col("_metadata.file_path"))
+def _base_path(spark: SparkSession, base_dir: str) -> tuple[str, bool]:
+    """The path part of ``base_dir`` on its file system, and whether it exists."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(path).toUri().getPath().rstrip("/"), fs.exists(path)
+
+
+def _accuracy_files(spark: SparkSession, base_dir: str) -> DataFrame:
+    """``csv_path, rel`` (below ``base_dir``) and the cells ``names, cells`` of the header and
+    the first record of every ``*_accuracy.csv``; each file keeps its own header."""
+    base, exists = _base_path(spark, base_dir)
+    if not exists:
+        return spark.createDataFrame(
+            [], "csv_path string, rel string, names array<string>, cells array<string>")
+    files = (spark.read.option("pathGlobFilter", "*_accuracy.csv")
+             .option("recursiveFileLookup", True).text(base_dir, wholetext=True))
+    # file_path is URL-encoded; a plus sign stands for itself there
+    uri = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    path = F.regexp_replace(uri, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    lines = F.filter(F.split("value", r"\r?\n|\r"), lambda line: F.trim(line) != "")
+
+    def cells(at: int) -> Column:
+        return F.transform(F.split(F.coalesce(F.get(lines, F.lit(at)), F.lit("")), ","),
+                           lambda c: F.regexp_replace(F.trim(c), '^\ufeff?"?|"$', ""))
+
+    return files.select(path.alias("csv_path"), F.substring(path, len(base) + 2, 1 << 30)
+                        .alias("rel"), cells(0).alias("names"), cells(1).alias("cells"))
 
 
-def _strip_scheme(c):
-    return F.regexp_replace(c, r"^file:(//)?", "")
+def _cell(candidates: list[str]) -> Column:
+    """B16 per file: the cell below the first candidate name that the file's header holds."""
+    at = F.coalesce(*[F.nullif(F.array_position("names", c), F.lit(0)) for c in candidates])
+    return F.get(F.col("cells"), (at - 1).cast("int"))
 
 
 def scan_result_tree(spark: SparkSession, base_dir: str) -> DataFrame:
     """A1: walk ``base_dir``; keep files in directories named ``<digits>_steps``.
 
     exp = first directory under ``base_dir`` (``(unknown_exp)`` when the step directory
-    is directly under it); one file per directory (the greatest name = latest run).
-    Returns :data:`RESULT_SCHEMA`; an empty tree gives an empty typed DataFrame.
+    is directly under it); one file per directory (the greatest name = latest run); a file
+    without a numeric accuracy is skipped. Returns :data:`RESULT_SCHEMA`; an empty or absent
+    tree gives an empty typed DataFrame.
     """
-    import os
-
-    base = os.path.abspath(base_dir).rstrip("/")
-    if not _has_files(spark, base, "_accuracy.csv"):
-        return spark.createDataFrame([], RESULT_SCHEMA)
-    raw = _read_accuracy_csvs(spark, base, recursive=True)
-    path = _strip_scheme(F.col("csv_path"))
-    rel = F.substring(path, len(base) + 2, 1 << 30)
-    parts = F.split(rel, "/")
-    n_dirs = F.size(parts) - 1
-    step_dir = F.element_at(parts, -2)
-    staged = (raw.withColumn("_rel", rel)
-              .withColumn("_stepdir", F.when(n_dirs >= 1, step_dir))
-              .filter(F.col("_stepdir").rlike(r"^\d+_steps$"))
-              .withColumn("step", parse_step(path))  # B14, strict digits
-              .withColumn("exp", parse_experiment(path, base))  # B15
-              .withColumn("_dir", F.regexp_replace("_rel", "/[^/]*$", "")))
-    resolved = staged.select(
-        "exp", "step", "_dir", "csv_path",
-        pick_column(raw, ACCURACY_COLUMNS, required=True).try_cast("double")
-        .alias("accuracy_percent"),
-        pick_column(raw, TOTAL_COLUMNS).try_cast("long").alias("total_samples"),
-        pick_column(raw, CORRECT_COLUMNS).try_cast("long").alias("correct_predictions"),
-    )
-    one = (resolved.groupBy("_dir")
-           .agg(F.max_by(F.struct(*[f.name for f in RESULT_SCHEMA.fields]), F.col("csv_path"))
-                .alias("r")))
-    return one.select("r.*")
+    base, _ = _base_path(spark, base_dir)
+    rows = _accuracy_files(spark, base_dir).where(F.col("rel").rlike(r"(^|/)\d+_steps/[^/]*$"))
+    one = rows.groupBy(F.regexp_replace("rel", "/[^/]*$", "").alias("dir")).agg(
+        F.max_by(F.struct("csv_path", "names", "cells"), "csv_path").alias("r")).select("r.*")
+    return one.select(
+        parse_experiment("csv_path", base).alias("exp"), parse_step("csv_path").alias("step"),
+        _cell(ACCURACY_COLUMNS).try_cast("double").alias("accuracy_percent"),
+        _cell(TOTAL_COLUMNS).try_cast("long").alias("total_samples"),
+        _cell(CORRECT_COLUMNS).try_cast("long").alias("correct_predictions"),
+        "csv_path").where("accuracy_percent is not null")
+
+
+def scan_step_dirs(spark: SparkSession, base_dir: str) -> DataFrame:
+    """A2 for every experiment at once: ``exp, step, accuracy`` of the files
+    ``<base>/<exp>/<x>_steps/*_accuracy.csv``."""
+    return _step_files(spark, base_dir, 3).select(
+        F.col("r.parts")[0].alias("exp"), "r.step", "r.accuracy")
 
 
 def scan_step_dir(spark: SparkSession, base_dir: str) -> DataFrame:
@@ -87,39 +103,17 @@ def scan_step_dir(spark: SparkSession, base_dir: str) -> DataFrame:
 
     Returns ``(step, accuracy)`` ordered by step (G1); ``accuracy_percent`` is mandatory.
     """
-    import os
-
-    base = os.path.abspath(base_dir).rstrip("/")
-    schema = T.StructType([T.StructField("step", T.IntegerType()),
-                           T.StructField("accuracy", T.DoubleType())])
-    if not _has_files(spark, base, "_accuracy.csv", depth=1):
-        return spark.createDataFrame([], schema)
-    raw = _read_accuracy_csvs(spark, base, recursive=False)
-    path = _strip_scheme(F.col("csv_path"))
-    step_dir = F.element_at(F.split(path, "/"), -2)
-    steps = (raw.withColumn("_dir", step_dir)
-             .withColumn("step", F.regexp_replace("_dir", "_steps$", "").try_cast("int"))
-             .filter(F.col("step").isNotNull()))
-    one = steps.groupBy("_dir").agg(
-        F.max_by(F.struct(F.col("step"), F.col("accuracy_percent").try_cast("double")
-                          .alias("accuracy")), F.col("csv_path")).alias("r"))
-    return one.select("r.*").orderBy("step")
-
-
-def _has_files(spark: SparkSession, base: str, suffix: str, depth: int | None = None) -> bool:
-    """Driver-side listing check (Hadoop FS), used only to return an empty typed result."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(base)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
-        return False
-    it = fs.listFiles(hpath, True)
-    base_depth = hpath.depth()
-    while it.hasNext():
-        p = it.next().getPath()
-        if p.getName().endswith(suffix) and (depth is None or p.depth() - base_depth == depth + 1):
-            return True
-    return False
+    return _step_files(spark, base_dir, 2).select("r.step", "r.accuracy").orderBy("step")
+
+
+def _step_files(spark: SparkSession, base_dir: str, depth: int) -> DataFrame:
+    """The latest file ``r`` of each step directory whose files lie ``depth`` names deep."""
+    rows = _accuracy_files(spark, base_dir).withColumn("parts", F.split("rel", "/")).where(
+        F.size("parts") == depth).withColumn(
+        "step", parse_step_loose(F.element_at("parts", -2))).where("step is not null")
+    rows = rows.withColumn("accuracy", _cell(ACCURACY_COLUMNS[:1]).try_cast("double"))
+    return rows.groupBy(F.slice("parts", 1, depth - 1).alias("dir")).agg(
+        F.max_by(F.struct("parts", "step", "accuracy"), "csv_path").alias("r"))
 
 
 def accuracy_record(df: DataFrame) -> DataFrame:
@@ -191,7 +185,7 @@ def write_result_tree(df: DataFrame, base_dir: str, run_stamp: str = "00000000_0
         name = exp_status.getPath().getName()
         if not exp_status.isDirectory() or not name.startswith("exp="):
             continue
-        exp = name[len("exp="):]
+        exp = unquote(name[len("exp="):]).replace("/", "%2F")  # no name holds a slash
         for step_status in fs.listStatus(exp_status.getPath()):
             sname = step_status.getPath().getName()
             if not step_status.isDirectory() or not sname.startswith("_dir="):

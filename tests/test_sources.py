@@ -48,6 +48,30 @@ def test_scan_step_dir(spark, tree):
     assert [(r.step, r.accuracy) for r in df.collect()] == [(400, 90.0), (800, 95.0)]
 
 
+def test_tree_with_own_headers_spaces_and_a_bad_file(spark):
+    base = os.path.join(tempfile.mkdtemp(prefix="gb-tree-"), "all runs")
+    _write(f"{base}/my exp/1_steps/a_accuracy.csv",
+           "total_samples,correct_predictions,accuracy_percent\n10,5,50.00\n")
+    _write(f"{base}/my exp/2_steps/a_accuracy.csv", "accuracy,total,correct\n70.0,10,7\n")
+    _write(f"{base}/a+b/3_steps/a_accuracy.csv", "n,accuracy\n4,25\n")
+    _write(f"{base}/a+b/4_steps/a_accuracy.csv", "accuracy\noops\n")
+    want = {("my exp", 1, 50.0, 10, 5), ("my exp", 2, 70.0, 10, 7), ("a+b", 3, 25.0, 4, None)}
+    for path in (base, f"file://{base}"):
+        rows = rs.scan_result_tree(spark, path).drop("csv_path").collect()
+        assert {tuple(r) for r in rows} == want
+    assert {tuple(r) for r in rs.scan_step_dirs(spark, base).where("exp = 'my exp'").collect()} \
+        == {("my exp", 1, 50.0), ("my exp", 2, None)}
+
+
+def test_written_tree_keeps_experiment_names(spark):
+    base = os.path.join(tempfile.mkdtemp(prefix="gb-tree-"), "t")
+    df = spark.createDataFrame([("x y=1:2", 5, 4, 1)], "exp string, step long, "
+                               "total_samples long, correct_predictions long")
+    rs.write_result_tree(df, base)
+    assert [(r.exp, r.step, r.accuracy_percent) for r in rs.scan_result_tree(spark, base).collect()] \
+        == [("x y=1:2", 5, 25.0)]
+
+
 def test_empty_tree_is_typed(spark):
     empty = tempfile.mkdtemp(prefix="gb-empty-")
     df = rs.scan_result_tree(spark, empty)
