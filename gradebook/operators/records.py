@@ -147,7 +147,8 @@ def missing_paths(df: DataFrame, path_col: str, root: str) -> DataFrame:
     scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"  # the same file on any file system
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
              .select(F.regexp_replace("path", scheme, "").alias("_p")))
-    paths = df.select("*", F.regexp_replace(F.explode(F.col(path_col)), scheme, "").alias("_p"))
+    paths = df.select("*", F.explode(F.col(path_col)).alias("_p")).withColumn(
+        "_p", F.regexp_replace("_p", scheme, ""))
     return paths.join(files, on="_p", how="left_anti").drop("_p")
 
 
