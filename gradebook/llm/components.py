@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import release, stored
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -46,5 +46,6 @@ def components(edges: DataFrame) -> DataFrame:
         F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
     while not _finished(edges):
         edges = stored(_stars(edges), "stars")
+        release(edges.sparkSession)
     labels = edges.select(F.col("hi").alias("node"), F.col("lo").alias("label"))
     return labels.unionByName(labels.select(F.col("label").alias("node"), "label")).distinct()

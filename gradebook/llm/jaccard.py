@@ -4,7 +4,7 @@ A document's set holds its distinct shingles of five words (A-Z lower-cased, wor
 space and 0x09-0x0D); with fewer words the whole sequence is its one element. Two documents
 link when ``100 * |intersection| >= THRESHOLD * |union|``.
 
-1. Shingle counts over the whole corpus, in ``BUCKETS`` hash buckets (a fixed-size table),
+1. Shingle frequencies over the whole corpus, in hash buckets (a fixed-size table),
    give every set one global order: rare buckets first, then the hash. Any shared order keeps
    the join exact; rare-first keeps passages that many documents share out of the prefixes.
 2. Documents with equal sets are one set (``sid``). Each set posts the first
@@ -55,11 +55,12 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def bucket_counts(docs: DataFrame) -> np.ndarray:
-    """Shingle occurrences of each hash bucket: a fixed-size array.
+def bucket_levels(docs: DataFrame) -> np.ndarray:
+    """How frequent the shingles of each hash bucket are: a fixed-size array of one byte a
+    bucket (eighths of the logarithm to base 2, so the order by frequency stays).
 
-    Each task counts its documents; the counts are cut into ``CHUNKS`` ranges and summed per
-    range in streaming tasks.
+    Each task counts its documents; the counts are cut into ``CHUNKS`` ranges, summed per
+    range in streaming tasks and made levels there.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.int32)
@@ -73,7 +74,7 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
             for chunk, counts in zip(*(batch.column(i).to_pylist() for i in range(2))):
                 own = np.frombuffer(counts, np.int32).astype(np.int64)
                 sums[chunk] = sums[chunk] + own if chunk in sums else own
-        yield chunked({i: np.minimum(c, (1 << 31) - 1).astype(np.int32)
+        yield chunked({i: np.minimum(np.log2(c + 1.0) * 8, 255).astype(np.uint8)
                        for i, c in sums.items()})
 
     def chunked(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -83,9 +84,9 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
             names=["chunk", "counts"])
     rows = docs.select("text").mapInArrow(count, COUNT).repartition("chunk").mapInArrow(
         add, COUNT).collect()
-    out = np.zeros((CHUNKS, (1 << BUCKET_BITS) // CHUNKS), np.int32)
+    out = np.zeros((CHUNKS, (1 << BUCKET_BITS) // CHUNKS), np.uint8)
     for row in rows:
-        out[row["chunk"]] = np.frombuffer(row["counts"], np.int32)
+        out[row["chunk"]] = np.frombuffer(row["counts"], np.uint8)
     return out.reshape(-1)
 
 
@@ -110,7 +111,7 @@ def prefix_length(n: int) -> int:
 def sketches(docs: DataFrame) -> DataFrame:
     """Per document its set size, set id and posted shingles. Of the documents of one task
     with equal sets only the first carries the shingles."""
-    counts = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs))
+    levels = docs.sparkSession.sparkContext.broadcast(bucket_levels(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -123,7 +124,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 ids.append(sid)
                 if n and sid not in seen:
                     seen.add(sid)
-                    order = np.lexsort((elements, counts.value[_bucket(elements)]))
+                    order = np.lexsort((elements, levels.value[_bucket(elements)]))
                     keys.append(elements[order[:prefix_length(n)]].view(np.int64))
                     ranges.append(range_counts(elements))
                 else:
@@ -316,6 +317,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = stored(verified(pairs, sets), "jaccard-links")
     release(spark)
     labels = components(links)
+    release(spark)
     mixed = stored(mixed_postings(posts, labels), "jaccard-mixed")
     more = mixed.select("sid").distinct().join(sets.select("sid"), "sid", "left_anti")
     sets = sets.unionByName(stored(set_table(docs, sketch, more), "jaccard-sets"))
@@ -325,12 +327,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if found.isEmpty():
             break
         labels = merged(labels, found)
+        release(spark)
         mixed = stored(mixed_postings(mixed, labels), "jaccard-mixed")
     release(spark)
     ranges = sketch.where("ranges is not null").join(
         mixed.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(
         F.min("ranges").alias("ranges"))
     found = stored(verified(cross_pairs(mixed, ranges), sets), "jaccard-links")
+    release(spark)
     if not found.isEmpty():
         labels = merged(labels, found)
     groups = sketch.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
