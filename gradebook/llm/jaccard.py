@@ -39,13 +39,14 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import free_name, release, stored
-from .textstats import inner_shingles, mix, shingle_sets, utf8
+from .textstats import inner_shingles, mix, parts, shingle_sets, utf8
 
 THRESHOLD = 80
 TURNS = 1
 RANGES = 128
 BUCKET_BITS = 22
 CHUNKS = 64
+SET_BYTES = 1 << 22  # of sets that leave a task at a time
 COUNT = "chunk int, counts binary"
 SKETCH = "doc_id long, n long, sid long, keys array<long>, ranges binary"
 SET = "sid long, elements binary"
@@ -65,7 +66,8 @@ def bucket_levels(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.int32)
         for batch in batches:
-            np.add.at(total, _bucket(inner_shingles(*utf8(batch.column(0)))), 1)
+            for body, offs in parts(batch.column(0)):
+                np.add.at(total, _bucket(inner_shingles(body, offs)), 1)
         yield chunked({i: c for i, c in enumerate(np.split(total, CHUNKS))})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +119,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             sizes, ids, keys, ranges = [], [], [], []
-            for elements in shingle_sets(*utf8(batch.column(1))):
+            for elements in shingle_sets(batch.column(1)):
                 n = len(elements)
                 sizes.append(n)
                 sid = set_id(elements) if n else None
@@ -267,17 +269,23 @@ def set_table(docs: DataFrame, sketch: DataFrame, wanted: DataFrame) -> DataFram
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         of, F.col("doc_id").eqNullSafe(F.col("of"))).select("sid", "text")
 
+    def made(ids: list[int], packed: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], names=["sid", "elements"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, packed = [], []
+            ids, packed, size = [], [], 0
             for sid, elements in zip(batch.column(0).to_pylist(),
-                                     shingle_sets(*utf8(batch.column(1)))):
+                                     shingle_sets(batch.column(1))):
                 if len(elements) and set_id(elements) == sid:  # ids may repeat with other texts
                     ids.append(sid)
                     packed.append(elements.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(packed, pa.binary())],
-                names=["sid", "elements"])
+                    size += len(packed[-1])
+                if size >= SET_BYTES:
+                    yield made(ids, packed)
+                    ids, packed, size = [], [], 0
+            yield made(ids, packed)
     return texts.mapInArrow(run, SET).dropDuplicates(["sid"])
 
 
@@ -294,10 +302,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = pa.array([linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64))
-                             for p, q in zip(x, y)], pa.bool_())
-            yield batch.select([0, 1]).filter(keep)
+            (x, i), (y, j) = utf8(batch.column(2)), utf8(batch.column(3))
+            keep = [linked(x[i[k]:i[k + 1]].view(np.uint64), y[j[k]:j[k + 1]].view(np.uint64))
+                    for k in range(batch.num_rows)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
     left = sets.select(F.col("sid").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("sid").alias("b"), F.col("elements").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(

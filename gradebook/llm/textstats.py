@@ -7,6 +7,8 @@ each, which the callers accept and name.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -73,6 +75,17 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[offs[0]:offs[-1]], offs - offs[0]
 
 
+def parts(column: pa.Array, size: int = _SEGMENT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``utf8`` of consecutive runs of texts of about ``size`` bytes (a longer text is a run of
+    its own), so that what is derived from the words never covers a whole batch at a time."""
+    body, offs = utf8(column)
+    at, end = 0, len(offs) - 1
+    while at < end:
+        to = max(at + 1, int(np.searchsorted(offs, offs[at] + size, "right")) - 1)
+        yield body[offs[at]:offs[to]], offs[at:to + 1] - offs[at]
+        at = to
+
+
 def words(body: np.ndarray, offs: np.ndarray,
           separators: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and hashes of all words, and the number of words before each text
@@ -133,15 +146,16 @@ def inner_shingles(body: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return runs[np.arange(SHINGLE, len(runs) + SHINGLE) <= end]
 
 
-def shingle_sets(body: np.ndarray, offs: np.ndarray):
+def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """Yield per text its sorted distinct shingle hashes (fewer words than a shingle: the
     whole sequence as one; no word: empty)."""
-    _, hashes, upto = words(body, offs)
-    runs = shingles(hashes)
-    for a, b in zip(upto[:-1].tolist(), upto[1:].tolist()):
-        if b - a >= SHINGLE:
-            yield np.unique(runs[a:b - SHINGLE + 1])
-        elif b > a:
-            yield np.array([sequence_hash(hashes[a:b])], np.uint64)
-        else:
-            yield np.zeros(0, np.uint64)
+    for body, offs in parts(column):
+        _, hashes, upto = words(body, offs)
+        runs = shingles(hashes)
+        for a, b in zip(upto[:-1].tolist(), upto[1:].tolist()):
+            if b - a >= SHINGLE:
+                yield np.unique(runs[a:b - SHINGLE + 1])
+            elif b > a:
+                yield np.array([sequence_hash(hashes[a:b])], np.uint64)
+            else:
+                yield np.zeros(0, np.uint64)
