@@ -2,9 +2,8 @@
 
 Each line yields a ground truth and a model answer in one of several written forms
 (``\\frac{a}{b}``, ``a/b``, ``0.5``; boxed with braces, boxed with a space, bare), built
-from the line's numbers; the grade is C9. No DuckDB twin: the normaliser is a
-sequential rewrite with raise-and-fallback semantics (rows-only check; unit tests pin
-the values).
+from the line's numbers; the grade is C9. The DuckDB twin restates the rules that these
+forms meet; unit tests pin the others.
 """
 
 from __future__ import annotations

@@ -7,6 +7,7 @@ types match the Spark plans one for one.
 from __future__ import annotations
 
 from ..functions import prompts as pr
+from ..operators import detection as det
 from .evaluation_plans import CLASS_NAMES, LANG_ALIASES, LANG_CLASSES
 
 WORD = r"\p{L}\p{N}_"
@@ -430,6 +431,34 @@ FROM p JOIN ch USING (p_partkey) JOIN g USING (ord)""",
     }
 
 
+#: The written forms of the maths plan: a fraction's arguments are single characters when they
+#: have no braces, a quotient of integers and one half are fractions; the rest stays.
+_FORM = (r"regexp_replace(regexp_replace(CASE WHEN {0} = '0.5' THEN '\frac{{1}}{{2}}' ELSE {0} END, "
+         r"'^(\d+)/(\d+)$', '\\frac{{\1}}{{\2}}'), "
+         r"'\\frac([^{{])([^{{])', '\\frac{{\1}}{{\2}}')")
+
+
+def math_sql() -> dict[str, str]:
+    return {"math_grades": rf"""
+WITH t AS (
+  SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS VARCHAR) AS a,
+         CAST(CAST(round(l_quantity, 0) AS INTEGER) AS VARCHAR) AS q, l_returnflag, l_linestatus
+  FROM lineitem),
+u AS (
+  SELECT l_orderkey, l_linenumber,
+         CASE WHEN l_linestatus = 'O' THEN 'The answer is $\boxed{{\frac' || a || q || '}}$.'
+              ELSE 'so \boxed ' || a || '/' || q || '$ done' END AS answer,
+         CASE l_returnflag WHEN 'A' THEN '\frac{{' || a || '}}{{' || q || '}}'
+                           WHEN 'N' THEN a || '/' || q ELSE '0.5' END AS truth
+  FROM t),
+b AS (SELECT *, regexp_extract(answer, '\\boxed( ([^$]*)|\{{([^}}]*)\}})', 2)
+             || regexp_extract(answer, '\\boxed( ([^$]*)|\{{([^}}]*)\}})', 3) AS box FROM u)
+SELECT l_orderkey, l_linenumber, answer, truth,
+       CASE WHEN {_FORM.format('box')} = {_FORM.format('truth')} THEN CAST(1.0 AS DOUBLE)
+            ELSE CAST(0.0 AS DOUBLE) END AS grade
+FROM b"""}
+
+
 DET = """
 li AS (SELECT *, l_orderkey * 100 + l_linenumber * 10 + row_number() OVER (
                    PARTITION BY l_orderkey, l_linenumber
@@ -453,8 +482,112 @@ d AS (SELECT l_orderkey + 1 AS image_id,
       FROM li)"""
 
 
+_THRESHOLDS = ", ".join(f"({i}, CAST({v!r} AS DOUBLE))" for i, v in enumerate(det.IOU_THRS))
+_AREAS = ", ".join(f"({i}, CAST({lo!r} AS DOUBLE), CAST({hi!r} AS DOUBLE))"
+                   for i, (_, lo, hi) in enumerate(det.AREA_RANGES))
+
+#: The greedy matching as a recursion over the rank within an (image, category).
+MATCHES = f"""
+{DET},
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, category_id
+                                                    ORDER BY score DESC, dt_id) - 1 AS dt_rank
+                       FROM d) WHERE dt_rank < 100),
+p AS (SELECT t.image_id, t.category_id, t.dt_id, t.dt_rank, t.score, t.w * t.h AS da, g.gt_id,
+             g.w * g.h AS ga, g.iscrowd <> 0 AS crowd,
+             least(t.x + t.w, g.x + g.w) - greatest(t.x, g.x) AS iw,
+             least(t.y + t.h, g.y + g.h) - greatest(t.y, g.y) AS ih
+      FROM top t LEFT JOIN g USING (image_id, category_id)),
+u AS (SELECT *, CASE WHEN iw > 0 AND ih > 0 THEN iw * ih ELSE 0.0 END AS inter FROM p),
+o AS (SELECT *, inter / (CASE WHEN crowd THEN da ELSE da + ga - inter END) AS iou FROM u),
+n AS (SELECT image_id, category_id, dt_rank, dt_id, score, da,
+             list({{'iou': iou, 'id': gt_id, 'crowd': crowd, 'area': ga}})
+               FILTER (WHERE iou >= 0.5) AS found
+      FROM o GROUP BY ALL),
+s AS (
+  SELECT image_id, category_id, thr.t, thr.at_least, ar.area_idx, ar.lo, ar.hi,
+         CAST(-1 AS BIGINT) AS dt_rank, CAST(NULL AS BIGINT) AS dt_id,
+         CAST(NULL AS DOUBLE) AS score, CAST([] AS BIGINT[]) AS taken, false AS matched,
+         false AS ignored
+  FROM (SELECT DISTINCT image_id, category_id FROM n),
+       (VALUES {_THRESHOLDS}) thr(t, at_least), (VALUES {_AREAS}) ar(area_idx, lo, hi)
+  UNION ALL
+  SELECT image_id, category_id, t, at_least, area_idx, lo, hi, next_rank, next_id, next_score,
+         CASE WHEN best IS NULL OR best.crowd THEN taken ELSE list_append(taken, best.id) END,
+         best IS NOT NULL,
+         CASE WHEN best IS NULL THEN NOT da BETWEEN lo AND hi ELSE NOT best.normal END
+  FROM (SELECT s.*, n.dt_rank AS next_rank, n.dt_id AS next_id, n.score AS next_score, n.da,
+               list_aggregate(list_transform(
+                 list_filter(n.found, lambda c: c.iou >= s.at_least
+                             AND (c.crowd OR NOT list_contains(s.taken, c.id))),
+                 lambda c: {{'normal': NOT c.crowd AND c.area BETWEEN s.lo AND s.hi,
+                             'iou': c.iou, 'id': c.id, 'crowd': c.crowd}}), 'max') AS best
+        FROM s JOIN n ON n.image_id = s.image_id AND n.category_id = s.category_id
+                     AND n.dt_rank = s.dt_rank + 1)),
+m AS (SELECT * FROM s WHERE dt_rank >= 0)"""
+
+#: Interpolated precision and final recall per (threshold, category, area, maxDet).
+CURVES = f"""
+{MATCHES},
+npig AS (SELECT category_id, area_idx, CAST(count(*) AS DOUBLE) AS npig
+         FROM g, (VALUES {_AREAS}) ar(area_idx, lo, hi)
+         WHERE iscrowd = 0 AND w * h BETWEEN lo AND hi GROUP BY ALL),
+cells AS (SELECT * FROM npig, (VALUES {", ".join(f"({i})" for i in range(len(det.IOU_THRS)))}) x(t),
+                 (VALUES {", ".join(f"({m})" for m in det.MAX_DETS)}) y(max_det)),
+levels AS (SELECT CAST(range AS INTEGER) AS r, range * CAST(0.01 AS DOUBLE) AS level
+           FROM range(101)),
+sums AS (SELECT t, category_id, area_idx, max_det, npig,
+                CAST(sum(CAST(matched AS INT)) OVER pos AS DOUBLE) AS tp,
+                CAST(sum(CAST(NOT matched AS INT)) OVER pos AS DOUBLE) AS fp
+         FROM m JOIN cells USING (t, category_id, area_idx)
+         WHERE dt_rank < max_det AND NOT ignored
+         WINDOW pos AS (PARTITION BY t, category_id, area_idx, max_det
+                        ORDER BY score DESC, image_id, dt_rank
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+curve AS (SELECT t, category_id, area_idx, max_det, tp / npig AS rc,
+                 max(tp / (fp + tp + CAST({det.EPS!r} AS DOUBLE))) AS pr
+          FROM sums GROUP BY ALL),
+best AS (SELECT t, category_id, area_idx, max_det, r, max(pr) AS pr
+         FROM curve ASOF JOIN levels ON curve.rc >= levels.level GROUP BY ALL),
+precisions AS (
+  SELECT t, r, category_id, area_idx, max_det,
+         coalesce(max(pr) OVER (PARTITION BY t, category_id, area_idx, max_det ORDER BY r DESC
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                  CAST(0.0 AS DOUBLE)) AS prec
+  FROM (SELECT * FROM cells, levels) LEFT JOIN best USING (t, category_id, area_idx, max_det, r)),
+recalls AS (SELECT t, category_id, area_idx, max_det, coalesce(max(rc), 0.0) AS rec
+            FROM cells LEFT JOIN curve USING (t, category_id, area_idx, max_det) GROUP BY ALL)"""
+
+
+def _summary_rows() -> str:
+    """The twelve numbers: (name, measure, threshold or none, area, maxDet)."""
+    rows = [("AP", "prec", None, 0, 100), ("AP50", "prec", 0, 0, 100), ("AP75", "prec", 5, 0, 100),
+            ("AP_small", "prec", None, 1, 100), ("AP_medium", "prec", None, 2, 100),
+            ("AP_large", "prec", None, 3, 100), ("AR1", "rec", None, 0, 1),
+            ("AR10", "rec", None, 0, 10), ("AR100", "rec", None, 0, 100),
+            ("AR_small", "rec", None, 1, 100), ("AR_medium", "rec", None, 2, 100),
+            ("AR_large", "rec", None, 3, 100)]
+    return " UNION ALL ".join(
+        f"SELECT CAST({i} AS INTEGER) AS idx, '{name}' AS stat, "
+        f"round(coalesce(avg({of}), -1.0), 9) AS value "
+        f"FROM {'precisions' if of == 'prec' else 'recalls'} "
+        f"WHERE area_idx = {area} AND max_det = {top}" + (f" AND t = {t}" if t is not None else "")
+        for i, (name, of, t, area, top) in enumerate(rows))
+
+
 def detection_sql() -> dict[str, str]:
     return {
+        "detection_matches": f"""
+WITH RECURSIVE {MATCHES}
+SELECT image_id, category_id, dt_id, CAST(dt_rank AS INTEGER) AS dt_rank, area_idx,
+       CAST(count_if(matched) AS INTEGER) AS n_matched,
+       CAST(count_if(ignored) AS INTEGER) AS n_ignored
+FROM m GROUP BY image_id, category_id, dt_id, dt_rank, area_idx""",
+        "detection_precision": f"""
+WITH RECURSIVE {CURVES}
+SELECT t, r, category_id, area_idx, max_det, round(prec, 9) AS precision FROM precisions""",
+        "detection_summary": f"""
+WITH RECURSIVE {CURVES}
+SELECT idx, stat, value FROM ({_summary_rows()})""",
         "detection_pairs": f"""
 WITH {DET},
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, category_id
@@ -603,6 +736,7 @@ def oracle_sql() -> dict[str, str]:
     q.update(streaming_sql())
     q.update(probe_sql())
     q.update(detection_sql())
+    q.update(math_sql())
     q.update(boxes_sql())
     q.update(records_sql())
     q.update(grpo_sql())
