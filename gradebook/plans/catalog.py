@@ -17,6 +17,7 @@ from . import detection_plans as dtp
 from . import probe_plans as pbp
 from . import streaming_plans as stp
 from . import names_plans as nmp
+from . import library_plans as lib
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -70,4 +71,4 @@ def queries() -> dict[str, Plan]:
         "stream_result_pickup": stp.stream_result_pickup,
         "model_names": nmp.model_names,
     }
-    return q
+    return q | lib.PLANS

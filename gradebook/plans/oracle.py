@@ -9,6 +9,7 @@ from __future__ import annotations
 from ..functions import prompts as pr
 from ..operators import detection as det
 from .evaluation_plans import CLASS_NAMES, LANG_ALIASES, LANG_CLASSES
+from .library_sql import library_sql
 
 WORD = r"\p{L}\p{N}_"
 MARKER_RE = rf"(^|[^{WORD}])({'|'.join(CLASS_NAMES)})($|[^{WORD}])"
@@ -737,6 +738,7 @@ def oracle_sql() -> dict[str, str]:
     q.update(probe_sql())
     q.update(detection_sql())
     q.update(math_sql())
+    q.update(library_sql(DET, boxes_sql()["tile_plans"]))
     q.update(boxes_sql())
     q.update(records_sql())
     q.update(grpo_sql())
