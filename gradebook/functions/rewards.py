@@ -104,24 +104,26 @@ def _iou(content: Column | str, solution: Column | str, **_: Column) -> Column:
     return iou_reward(content, solution)
 
 
-def _format_rec(content: Column | str, solution: Column | str | None = None,
-                **_: Column) -> Column:
-    return format_reward_rec(content, braces=True)
+def _format_rec(braces: bool) -> RewardFn:
+    def fn(content: Column | str, solution: Column | str | None = None, **_: Column) -> Column:
+        return format_reward_rec(content, braces=braces)
+    return fn
 
 
 def select_reward(name: str, task: str | None = None, class_names: Sequence[str] = (),
-                  customised: bool = False) -> RewardFn:
+                  customised: bool = False, family: str = "A") -> RewardFn:
     """C11: the reward builder for a configured name.
 
     Default registry: ``accuracy`` (C2 via C10) and ``format`` (C3). With a model-module
     override (``customised=True``) only task ``rec`` exists: ``accuracy`` → IoU (C5),
-    ``format`` → C4. Anything else raises, as in the trainer.
+    ``format`` → C4 in the form of the model ``family`` (A: a box inside braces, B: a bare
+    box). Anything else raises, as in the trainer.
     """
     if customised:
         if task == "rec" and name == "accuracy":
             return _iou
         if task == "rec" and name == "format":
-            return _format_rec
+            return _format_rec(braces=family == "A")
         raise ValueError(f"unsupported reward function: {name}")
     if name == "accuracy":
         return _accuracy(class_names)

@@ -157,6 +157,22 @@ def batch_predict(df: DataFrame, predictor: Callable[[list[str]], list[str]],
     return marked.mapInPandas(run, schema)
 
 
+def model_scores(df: DataFrame, scorer: Callable[[list[str]], list[float]],
+                 prompt_col: str = "prompt", completion_col: str = "completion",
+                 out_col: str = "reward") -> DataFrame:
+    """A reward model's score of every prompt with its completion (NULL texts: empty), in
+    Arrow batches. ``scorer`` takes the joined texts and returns one number each."""
+    whole = F.concat(*[F.coalesce(F.col(c), F.lit("")) for c in (prompt_col, completion_col)])
+    schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.DoubleType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = pdf.pop("_whole").tolist()
+            yield pdf.assign(**{out_col: np.asarray(scorer(texts) if texts else [], float)})
+
+    return df.withColumn("_whole", whole).mapInPandas(run, schema)
+
+
 def gather_by_index(patches: Column, idx: Column) -> Column:
     """Keep the listed items of an array, in the order of ``idx`` (0-based)."""
     return F.transform(idx, lambda i: F.element_at(patches, i + 1))

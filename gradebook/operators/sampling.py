@@ -9,7 +9,7 @@ tasks (md5 is uniform, blocks are balanced) and no task holds the whole table.
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import hex_block, positions
@@ -37,13 +37,27 @@ def _with_total(df: DataFrame, total_col: str = "_n") -> DataFrame:
 def exact_split(df: DataFrame, id_col: str, ratio: float = 0.1, seed: int | str = 42,
                 rounding: str = "floor", split_col: str = "split") -> DataFrame:
     """Exactly ``int(n*ratio)`` (or ``ceil``) rows go to ``validation``, disjoint from
-    ``train``. ``randomSplit`` is only approximate, hence the ranked cut."""
-    ranked = _with_total(shuffle(df, id_col, seed))
-    cut = (F.floor(F.col("_n") * F.lit(ratio)) if rounding == "floor"
-           else F.ceil(F.col("_n") * F.lit(ratio)))
-    return (ranked.withColumn(split_col, F.when(F.col("perm_pos") <= cut, F.lit("validation"))
-                              .otherwise(F.lit("train")))
-            .drop("_n"))
+    ``train``. ``randomSplit`` is only approximate, hence the ranked cut.
+
+    The permutation key is counted by its first four digits (at most 16**4 + 1 blocks). All
+    rows of a block lie on one side of the cut, but for one block: only that one is ranked.
+    """
+    total = F.sum("_c").over(Window.partitionBy())
+    cut = F.floor(total * F.lit(ratio)) if rounding == "floor" else F.ceil(total * F.lit(ratio))
+    keyed = df.withColumn("_pkey", permutation_key(id_col, seed)).withColumn(
+        "_blk", F.coalesce(hex_block("_pkey"), F.lit("")))
+    counts = keyed.groupBy("_blk").agg(F.count(F.lit(1)).alias("_c"))
+    bounds = counts.select("_blk", F.sum("_c").over(Window.orderBy("_blk")).alias("_to"),
+                           "_c", cut.alias("_cut"))
+    placed = keyed.join(F.broadcast(bounds), "_blk")  # at most 16**4 + 1 rows
+    split = F.col("_to") > F.col("_cut")
+    split = split & (F.col("_to") - F.col("_c") < F.col("_cut"))
+    rank = F.row_number().over(Window.partitionBy("_blk").orderBy("_pkey", id_col))
+    whole = placed.where(~split).withColumn("_last", F.col("_to"))
+    ranked = placed.where(split).withColumn("_last", F.col("_to") - F.col("_c") + rank)
+    return whole.unionByName(ranked).select(
+        *df.columns, F.when(F.col("_last") <= F.col("_cut"), F.lit("validation"))
+        .otherwise(F.lit("train")).alias(split_col))
 
 
 def group_sampler(df: DataFrame, id_col: str, mini_repeat: int, batch_size: int = 1,

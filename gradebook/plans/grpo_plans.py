@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from ..functions.rewards import select_reward
 from ..functions.text import first_mentioned_class
 from ..operators import grpo
-from ..operators.ranking import numeric_block, positions
 from ..session import table
 from .evaluation_plans import CLASS_NAMES
 
@@ -91,12 +90,10 @@ EOS_ID = TOKEN_IDS[EOS_TYPE]
 def token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
     tok = F.create_map(*[F.lit(x) for kv in TOKEN_IDS.items() for x in kv])
-    ranked = positions(ev, ["user_id"], ["event_id"], numeric_block("event_id", 1 << 16), "pos",
-                       levels=2)
     adv = ev.groupBy("user_id").agg(
         ((F.avg("value") - F.lit(50.0)) / F.lit(50.0)).alias("advantage"))
-    return ranked.join(adv, on="user_id", how="inner").select(
-        F.col("user_id").alias("row_id"), "pos",
+    return ev.join(adv, on="user_id", how="inner").select(
+        F.col("user_id").alias("row_id"), F.col("event_id").alias("pos"),  # only its order counts
         F.coalesce(F.element_at(tok, F.col("event_type")), F.lit(-1)).alias("token"),
         (-F.col("value") / F.lit(100.0)).alias("lp"),
         (-F.col("value") / F.lit(90.0)).alias("old_lp"),

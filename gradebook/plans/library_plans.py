@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import names, prompts as pr
-from ..functions.rewards import RewardFn, register_reward
+from ..functions.rewards import RewardFn, register_reward, select_reward
 from ..functions.vision import tile_boxes
 from ..operators import detection as det
 from ..operators import evaluation as ev
@@ -22,7 +22,7 @@ from ..operators import sampling as sm
 from ..session import scratch_path, table
 from ..sources import records as src
 from ..sources import results as res
-from .boxes_plans import tile_plans
+from .boxes_plans import box_answers, tile_plans
 from .detection_plans import _lines, detections
 
 ROUND = 9
@@ -102,6 +102,26 @@ def batch_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "batch", "generated_text")
 
 
+def _word_share(texts: list[str]) -> list[float]:
+    return [t.count(" ") / max(len(t), 1) for t in texts]
+
+
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scorer (share of spaces) over every turn with its role as the prompt."""
+    turns = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.col("role").alias("prompt"), F.col("text").alias("completion"))
+    out = probe.model_scores(turns, _word_share)
+    return out.select("conv_id", "turn", F.round("reward", ROUND).alias("reward"))
+
+
+def box_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C11: the format reward that the registry selects for both model families."""
+    a = box_answers(spark, sf_dir)
+    fns = {f: select_reward("format", "rec", customised=True, family=f) for f in "AB"}
+    return a.groupBy("l_returnflag").agg(*[
+        F.sum(fns[f]("content")).alias(f"format_{f.lower()}") for f in "AB"])
+
+
 def next_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F8: the token that the score at each position belongs to (events of a user)."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
@@ -264,7 +284,8 @@ def plugged_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PLANS = {f.__name__: f for f in (
     detection_load, category_filter, keypoint_similarities, gathered_patches, repeated_blocks,
-    batch_predictions, next_tokens, token_log_probabilities, padded_sequences, clipped_rows,
+    batch_predictions, model_scores, box_formats, next_tokens, token_log_probabilities,
+    padded_sequences, clipped_rows,
     model_families, chat_messages, crop_boxes, rows_by_id, forgetting_by_dataset,
     distinct_sources, registered_records, labelled_items, rollout_log, evaluation_samples,
     plugged_reward)}

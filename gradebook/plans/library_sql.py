@@ -54,6 +54,18 @@ SELECT doc_id, batch,
             THEN 'error_empty_input_ids' ELSE CAST(length(prompt) AS VARCHAR) END
          AS generated_text
 FROM t""",
+        "model_scores": """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') || coalesce(text, '') AS whole
+           FROM conversations)
+SELECT conv_id, turn,
+       round(CAST(length(whole) - length(replace(whole, ' ', '')) AS DOUBLE)
+             / greatest(length(whole), 1), 9) AS reward
+FROM t""",
+        "box_formats": """
+SELECT l_returnflag,
+       CAST(sum(CASE WHEN l_returnflag NOT IN ('A', 'R') THEN 1 ELSE 0 END) AS DOUBLE) AS format_a,
+       CAST(sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END) AS DOUBLE) AS format_b
+FROM lineitem GROUP BY l_returnflag""",
         "next_tokens": """
 SELECT event_id, user_id, event_type,
        lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS target_token
