@@ -422,3 +422,38 @@ def test_streams_read_folders_in_any_order_of_time(spark, tmp_path):
     stream = st.read_table_stream(spark, str(tmp_path), "events", schema, files_per_trigger=1)
     out = st.run_updates(st.streaming_accuracy(stream), ["w", "exp"], "late")
     assert sum(r.total_samples for r in out.collect()) == 9
+
+
+def test_exact_split_keeps_null_ids_and_rounds(spark):
+    df = spark.createDataFrame([(i, "x") for i in range(23)] + [(None, "x")], "id long, v string")
+    for rounding, want in (("floor", 7), ("ceil", 8)):
+        out = sampling.exact_split(df, "id", 0.3, rounding=rounding).collect()
+        assert len(out) == 24
+        assert sum(r["split"] == "validation" for r in out) == want
+
+
+def test_exact_split_of_an_empty_table(spark):
+    assert sampling.exact_split(spark.createDataFrame([], "id long"), "id").collect() == []
+
+
+def test_loaded_detections_keep_input_order_and_need_their_images(spark):
+    from gradebook.operators import detection
+
+    rows = [(8 - i, [float(i), 0.0, 2.0, 3.0], 0.5, i) for i in range(8)]
+    dts = spark.createDataFrame(
+        rows, "image_id long, bbox array<double>, score double, place long")
+    images = spark.createDataFrame([(i,) for i in range(1, 9)], "id long")
+    out = detection.load_detections(dts, images, "place").orderBy("id").collect()
+    assert [(r["id"], r["image_id"]) for r in out] == [(i + 1, 8 - i) for i in range(8)]
+    assert {(r["area"], r["iscrowd"]) for r in out} == {(6.0, 0)}
+    with pytest.raises(Exception, match="do not correspond"):
+        detection.load_detections(dts, images.where("id < 8"), "place").collect()
+
+
+def test_model_scores_of_null_texts(spark):
+    from gradebook.operators import probe
+
+    df = spark.createDataFrame([(1, "a", "bc"), (2, None, None)],
+                               "id long, prompt string, completion string")
+    out = probe.model_scores(df, lambda texts: [float(len(t)) for t in texts])
+    assert {(r["id"], r["reward"]) for r in out.collect()} == {(1, 3.0), (2, 0.0)}
