@@ -150,6 +150,42 @@ def test_license_scan(spark, docs, none):
     assert licenses.scan(docs).count() == licenses.scan(none).count() == 0
 
 
+def test_license_scan_against_brute_force(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    names = {"MIT License": "MIT", "Apache License, Version 2.0": "Apache-2.0",
+             "GNU General Public License, version 3": "GPL-3.0", "CC BY-NC 4.0": "CC-BY-NC-4.0",
+             "CC BY 4.0": "CC-BY-4.0", "CC BY-SA 4.0": "CC-BY-SA-4.0"}
+    line = re.compile(r"\b[a-z]+ under (?:the )?(%s)(?![\w.]*\d)" % "|".join(map(re.escape, names)),
+                      re.I)
+    lower = {k.lower(): v for k, v in names.items()}
+    want = collections.Counter((r.doc_id, lower[m.group(1).lower()]) for r in table.collect()
+                               for m in line.finditer(r.text or ""))
+    got = collections.Counter((r.doc_id, r.license) for r in licenses.scan(table).collect())
+    assert got == want and sum(want.values()) == 39
+    assert sum(n for (_, license), n in want.items() if license == "MIT") == 10
+
+
+def test_license_statements_and_bodies(spark):
+    rows = [(1, "Released under the MIT License."), (2, "Released under the Apache License 2.0"),
+            (3, "// SPDX-License-Identifier: MIT"), (4, "das ist mit Lizenz"),
+            (5, "Code available under the terms of the Mozilla Public License 2.0."),
+            (6, "Released under CC BY-SA 4.0 by us"), (7, "the MIT License"),
+            (8, "released under the"), (9, "GNU General Public License v2"),
+            (10, "Distributed under the GNU General Public License, version 2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.license, r.end_word) for r in licenses.scan(df).collect()) == [
+        (1, "MIT", 5), (2, "Apache-2.0", 7), (3, "MIT", 4), (5, "MPL-2.0", 12),
+        (6, "CC-BY-SA-4.0", 7), (10, "GPL-2.0", 9)]
+    texts = collections.defaultdict(list)
+    for name, section in licenses.license_texts():
+        texts[name].append(section)
+    assert len(texts) == 10
+    bodies = [(i, "words " * 30 + " ".join(texts[name][1:])) for i, name in enumerate(texts)]
+    found = {(r.doc_id, r.license) for r in licenses.scan(
+        spark.createDataFrame(bodies, "doc_id long, text string")).collect()}
+    assert found >= set(enumerate(texts))
+
+
 @pytest.mark.parametrize("html, text", [
     (None, ""), ("", ""), ("plain  words", "plain words"),
     ("<nav><a href=x>Menu</a></nav><article><h1>A &amp; B</h1><p>" + "some text " * 9 +
