@@ -25,7 +25,8 @@ Shingles and sets are compared by 64-bit hashes.
 Defined cases: NULL or empty text and text without words: empty set, linked with nothing, its
 own component; NULL doc_id: a row like others, component_id is the smallest non-NULL id of
 the component (NULL if none); repeated rows and copies share a set; an empty table gives no
-rows; extra columns pass through :func:`keep_first`.
+rows; extra columns pass through :func:`keep_first`, which takes rows by (doc_id, set), so
+that repeated and NULL ids with different texts are different documents.
 """
 
 from __future__ import annotations
@@ -312,8 +313,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every document."""
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sketches, and ``label, sid, least`` (smallest id of its documents) of every set."""
     spark = docs.sparkSession
 
     sketch = stored(sketches(docs), "jaccard-sketch")
@@ -348,7 +349,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = sketch.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
     groups = groups.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
         "label", F.coalesce("label", "sid"))
-    groups = stored(groups, "jaccard-groups")
+    return sketch, stored(groups, "jaccard-groups")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every document."""
+    sketch, groups = _grouped(docs)
     named = groups.join(groups.groupBy("label").agg(F.min("least").alias("component_id")),
                         "label").select(F.col("sid").alias("of"), "component_id")
     return sketch.join(named, F.col("sid") == F.col("of"), "left").select(
@@ -357,14 +363,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             F.col("component_id")).alias("component_id"))
 
 
+def _set_ids(texts: pa.Array) -> pa.Array:
+    return pa.array([set_id(x) if len(x) else None for x in shingle_sets(texts)], pa.int64())
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component (repeated rows of that
-    id: one stays; rows without an id stay unless linked with one that has an id)."""
-    found = near_duplicates(docs).where(
-        F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_kept")).distinct()
-    key = free_name(docs, "_key")
-    rows = docs.withColumn(key, F.col("doc_id").cast("long"))
-    kept = rows.join(found, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
-    once = kept.where(F.col(key).isNotNull()).dropDuplicates([key])
-    return once.unionByName(kept.where(F.col(key).isNull())).drop(key)
+    """One row of ``docs`` for each component: of its smallest non-NULL id (NULL if it has
+    none), of that id's smallest set, and of equal sets of that id the row with the smallest
+    hash. Rows without words are each their own component and stay."""
+    _, groups = _grouped(docs)
+    first = groups.groupBy("label").agg(F.min(F.struct(
+        F.col("least").isNull().alias("none"), "least", "sid")).alias("f"))
+    first = first.select(F.col("f.sid").alias("_set"), F.col("f.least").alias("_least"))
+    key, own = free_name(docs, "_key"), free_name(docs, "_own")
+    ids = F.arrow_udf(_set_ids, "long")
+    rows = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(own, ids("text"))
+    kept = rows.join(first, (F.col(own) == F.col("_set")) & F.col(key).eqNullSafe(
+        F.col("_least")), "left_semi")
+    order = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t])
+    once = kept.groupBy(key, own).agg(F.min_by(F.struct(*[
+        F.col(f"`{c}`") for c in docs.columns]), order).alias("_row")).select("_row.*")
+    return once.unionByName(rows.where(F.col(own).isNull()).drop(key, own))

@@ -140,6 +140,18 @@ def test_decontamination_finds_copies_and_paraphrases(spark, docs, none):
     assert decontam.leaks(none, bench).count() == 0
 
 
+def test_keep_first_takes_rows_not_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(None, a), (None, a), (None, a + " end"), (None, b), (5, b + " end"), (7, c), (7, d),
+            (8, d + " end"), (9, c), (None, ""), (None, None), (11, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.text) for r in jaccard.keep_first(df).collect())
+    one = [x for x in got if x[1] and x[1].startswith("a0 ")]
+    assert len(one) == 1 and got.pop(one[0]) == 1 and one[0][0] is None
+    assert got == collections.Counter([(5, b + " end"), (7, c), (7, d), (None, ""), (None, None),
+                                       (11, " ")])
+
+
 def test_license_scan(spark, docs, none):
     text = ("words before it " * 30 + "Licensed under the Apache License, Version 2.0. " +
             licenses.TEMPLATES["MIT-notice"] + " tail " * 40)
