@@ -152,6 +152,28 @@ def test_keep_first_takes_rows_not_ids(spark):
                                        (11, " ")])
 
 
+def test_decontamination_without_answers(spark):
+    rng = np.random.default_rng(3)
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = [r for r in bench.collect() if len(r.text.split()) >= 24]
+    rows, want = [], set()
+    for k, item in enumerate(items):
+        w = item.text.split()
+        gone = {*range(len(w) - 5, len(w))} | {
+            *rng.choice(len(w) - 5, round(len(w) * 0.36) - 5, replace=False).tolist()}
+        rows.append((10**6 + k, LONG * 3 + " ".join(
+            f"other{i}" if i in gone else x for i, x in enumerate(w)) + " " + LONG * 3))
+        want.add((10**6 + k, item.item_id))
+        half = {*rng.choice(len(w), round(len(w) * 0.7), replace=False).tolist()}
+        rows.append((2 * 10**6 + k, " ".join(
+            f"other{i}" if i in half else x for i, x in enumerate(w))))
+    planted = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.leaks(
+        table.unionByName(planted), bench).collect() if r.doc_id >= 10**6}
+    assert found <= want and len(found) >= 0.9 * len(want)
+
+
 def test_license_scan(spark, docs, none):
     text = ("words before it " * 30 + "Licensed under the Apache License, Version 2.0. " +
             licenses.TEMPLATES["MIT-notice"] + " tail " * 40)
