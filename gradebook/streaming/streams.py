@@ -2,7 +2,7 @@
 
 The reference has no streams; these are stream versions of its loops:
 
-* K1 – running accuracy: per-experiment, per-day windowed counts with a watermark;
+* K1 – running accuracy: per-experiment, per-day windowed counts (no watermark);
 * K2 – metric flush: tumbling-window mean of each metric name;
 * K3 – new-result pickup: a file-source stream over result CSV files, folding each
   micro-batch into the best checkpoint per experiment.
