@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (ann, chat, decontam, html_text, jaccard, langid, licenses, mixing, pii,
-               suffix_dedup)
+from . import (ann, chat, decontam, divergence, filter_audit, html_text, jaccard, langid,
+               licenses, mixing, pii, simhash, suffix_dedup)
 from .sql import oracle_sql
 
 __all__ = ["oracle_sql", "queries"]
@@ -66,8 +66,20 @@ def op10_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_suffix_dedup, op2_source_mix, op3_personal_data, op4_license_scan, op5_chat_format,
         op6_language_id, op7_decontamination, op8_jaccard_join, op9_html_text,
-        op10_hilbert_search)}
+        op10_hilbert_search, op11_filter_audit, op12_simhash, op13_source_divergence)}

@@ -185,6 +185,83 @@ r as (
 select query_id, rank::integer rank, vec_id, score from r where rank <= 5
 """
 
+FILTER_AUDIT = rf"""
+with recursive texts as (
+  select doc_id, coalesce(source, '') part, coalesce(text, '') as body,
+    coalesce(regexp_extract_all(text, '{_WORD}'), []::varchar[]) w,
+    min(doc_id) over (partition by coalesce(text, '')) least_id from documents),
+flags as (
+  select doc_id::bigint doc_id, max(coalesce(quality = 1, false)::int) good,
+    max(coalesce(toxic = 1, false)::int) toxic from labels where doc_id is not null group by 1),
+masks as (
+  select part, coalesce(good, 0) good, coalesce(toxic, 0) toxic,
+    case when len(w) < 50 then 1 else 0 end
+    | case when 100 * len(list_distinct(w)) < 65 * len(w) then 2 else 0 end
+    | case when 100 * length(regexp_replace(body, '[^A-Z]+', '', 'g')) > 5 * length(body)
+        then 4 else 0 end
+    | case when regexp_matches(body, '[#$%&*|]') then 8 else 0 end
+    | case when coalesce(texts.doc_id > least_id, false) then 16 else 0 end mask
+  from texts left join flags using (doc_id)),
+cells as (
+  select part, mask, count(*) n, sum(good) good, sum(toxic) toxic from masks group by part, mask),
+letters(letter, letter_bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+walk(prefix, letter, bit, done, step) as (
+  select '', '', 0, 0, 0
+  union all
+  select prefix || l.letter, l.letter, letter_bit, done | bit, step + 1
+  from walk join letters l on ((done | bit) & letter_bit) = 0),
+steps as (
+  select part, prefix, letter, step,
+    sum(case when (mask & (done | bit)) = 0 then n else 0 end) kept,
+    sum(case when (mask & done) = 0 and (mask & bit) <> 0 then n else 0 end) removed,
+    sum(case when (mask & done) <> 0 and (mask & bit) <> 0 then n else 0 end) redundant,
+    sum(case when mask = bit then n else 0 end) unique_fails,
+    sum(case when (mask & done) = 0 and (mask & bit) <> 0 then good else 0 end) good_lost,
+    sum(case when (mask & done) = 0 and (mask & bit) <> 0 then toxic else 0 end) toxic_lost
+  from walk, cells where step > 0 group by part, prefix, letter, step),
+orders as (select prefix filter_order, unnest(range(1, 6)) upto from walk where step = 5)
+select part, filter_order, step::integer step, kept::bigint kept, removed::bigint removed,
+  redundant::bigint redundant, unique_fails::bigint unique_fails, good_lost::bigint good_lost,
+  toxic_lost::bigint toxic_lost,
+  (sum(removed) over (partition by part, letter))::bigint shapley
+from steps join orders on prefix = substr(filter_order, 1, upto)
+"""
+
+DIVERGENCE_AUDIT = r"""
+with d as (
+  select row_number() over () id, coalesce(lang, '') lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') w from documents),
+found as (select id, lang, source, unnest(w) term from d),
+vocabulary as (
+  select lang, term, count(*) lang_tf from found group by lang, term
+  having count(distinct id) >= 30),
+groups as (select distinct lang, source from d),
+counted as (select lang, source, term, count(*) n from found group by lang, source, term),
+filled as (
+  select g.lang, g.source, v.term, v.lang_tf, coalesce(c.n, 0) tf
+  from groups g join vocabulary v using (lang) left join counted c using (lang, source, term)),
+shares as (
+  select lang, source, term, tf,
+    1 + (1000000000::hugeint * (tf + 5)) // (sum(tf) over own + 5 * count(*) over own) p,
+    1 + (1000000000::hugeint * (lang_tf + 5)) // (sum(lang_tf) over own + 5 * count(*) over own) q
+  from filled window own as (partition by lang, source)),
+apart as (
+  select a.lang, a.source, b.source item, sum(abs(a.p - b.p)) v
+  from shares a join shares b using (lang, term) where a.source <> b.source
+  group by a.lang, a.source, b.source),
+rows_ as (
+  select a.lang, a.source, 'pair' part, b.source item, coalesce(v, 0) v
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join apart x on x.lang = a.lang and x.source = a.source and x.item = b.source
+  union all
+  select lang, source, 'term', term, p - q from shares where tf > 0 and p > q),
+ranked as (
+  select *, row_number() over (partition by lang, source, part order by v desc, item) r from rows_)
+select lang, source, part, item, v::bigint as value, r::integer rank from ranked
+where part = 'pair' or r <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -194,4 +271,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_chat_format": CHAT_FORMAT,
         "op8_jaccard_join": JACCARD_JOIN,
         "op10_hilbert_search": HILBERT_SEARCH,
+        "op11_filter_audit": FILTER_AUDIT,
+        "op13_source_divergence": DIVERGENCE_AUDIT,
     }
