@@ -61,7 +61,11 @@ def queries() -> dict[str, Plan]:
         "images_with_all_categories": dtp.images_with_all_categories,
         "detection_matches": dtp.detection_matches,
         "detection_precision": dtp.detection_precision,
+        "detection_recall": dtp.detection_recall,
         "detection_summary": dtp.detection_summary,
+        "detection_summary_all_categories": dtp.detection_summary_all_categories,
+        "keypoint_summary": dtp.keypoint_summary,
+        "scene_overlaps": dtp.scene_overlaps,
         "centroid_probe": pbp.centroid_probe,
         "attention_pooling": pbp.attention_pooling,
         "probe_cross_entropy": pbp.probe_cross_entropy,

@@ -484,33 +484,87 @@ d AS (SELECT l_orderkey + 1 AS image_id,
 
 
 _THRESHOLDS = ", ".join(f"({i}, CAST({v!r} AS DOUBLE))" for i, v in enumerate(det.IOU_THRS))
-_AREAS = ", ".join(f"({i}, CAST({lo!r} AS DOUBLE), CAST({hi!r} AS DOUBLE))"
-                   for i, (_, lo, hi) in enumerate(det.AREA_RANGES))
 
-#: The greedy matching as a recursion over the rank within an (image, category).
-MATCHES = f"""
+
+def _areas(ranges) -> str:
+    return ", ".join(f"({i}, CAST({lo!r} AS DOUBLE), CAST({hi!r} AS DOUBLE))"
+                     for i, (_, lo, hi) in enumerate(ranges))
+
+
+def _box_candidates(category: str) -> str:
+    """``n``: the top detections, each with the ground truths that reach the lowest IoU;
+    ``tg``: the ground truths. ``category``: the group of a box within its image."""
+    return f"""
 {DET},
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, category_id
-                                                    ORDER BY score DESC, dt_id) - 1 AS dt_rank
-                       FROM d) WHERE dt_rank < 100),
-p AS (SELECT t.image_id, t.category_id, t.dt_id, t.dt_rank, t.score, t.w * t.h AS da, g.gt_id,
-             g.w * g.h AS ga, g.iscrowd <> 0 AS crowd,
-             least(t.x + t.w, g.x + g.w) - greatest(t.x, g.x) AS iw,
-             least(t.y + t.h, g.y + g.h) - greatest(t.y, g.y) AS ih
-      FROM top t LEFT JOIN g USING (image_id, category_id)),
+gg AS (SELECT image_id, category_id AS own, {category} AS category_id, gt_id, x, y, w, h,
+              iscrowd <> 0 AS crowd, w * h AS area FROM g),
+tg AS (SELECT category_id, area, NOT crowd AS normal FROM gg),
+top AS (SELECT * FROM (
+          SELECT *, row_number() OVER (PARTITION BY image_id, category_id
+                                       ORDER BY score DESC, own, dt_id) - 1 AS dt_rank
+          FROM (SELECT image_id, category_id AS own, {category} AS category_id, dt_id, x, y, w, h,
+                       score FROM d)) WHERE dt_rank < 100),
+p AS (SELECT t.image_id, t.category_id, t.dt_id, t.dt_rank, t.score, t.w * t.h AS da, gg.gt_id,
+             gg.own, gg.area AS ga, gg.crowd,
+             least(t.x + t.w, gg.x + gg.w) - greatest(t.x, gg.x) AS iw,
+             least(t.y + t.h, gg.y + gg.h) - greatest(t.y, gg.y) AS ih
+      FROM top t LEFT JOIN gg USING (image_id, category_id)),
 u AS (SELECT *, CASE WHEN iw > 0 AND ih > 0 THEN iw * ih ELSE 0.0 END AS inter FROM p),
 o AS (SELECT *, inter / (CASE WHEN crowd THEN da ELSE da + ga - inter END) AS iou FROM u),
 n AS (SELECT image_id, category_id, dt_rank, dt_id, score, da,
-             list({{'iou': iou, 'id': gt_id, 'crowd': crowd, 'area': ga}})
+             list({{'iou': iou, 'own': own, 'id': gt_id, 'crowd': crowd, 'ignore': crowd,
+                    'area': ga}})
                FILTER (WHERE iou >= 0.5) AS found
-      FROM o GROUP BY ALL),
+      FROM o GROUP BY ALL)"""
+
+
+#: Keypoint similarity of the results and ground truths of an image (see the plan's layout).
+def _keypoint_candidates() -> str:
+    sigmas = ", ".join(f"({i}, CAST({v!r} AS DOUBLE))" for i, v in enumerate(det.KPT_OKS_SIGMAS))
+    return f"""
+{DET},
+ks AS (SELECT *, CAST(l_linenumber AS DOUBLE) * 12.0 AS x, l_quantity AS y,
+              CAST(l_partkey % 6 + 1 AS DOUBLE) AS pitch, l_discount * 20.0 AS dx,
+              l_tax * 30.0 AS dy, (l_extendedprice % 1000.0) / 1000.0 AS score,
+              l_partkey % 9 = 0 AS crowd, l_returnflag = 'A' AS blank FROM li),
+tg AS (SELECT CAST(1 AS BIGINT) AS category_id, pitch * pitch * 128 AS area,
+              NOT crowd AND NOT blank AS normal FROM ks),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey
+                                                    ORDER BY score DESC, id) - 1 AS dt_rank
+                       FROM ks) WHERE dt_rank < 20),
+pts AS (SELECT t.id AS dt_id, v.id AS gt_id, v.blank, sigma, v.pitch * v.pitch * 128 AS ga,
+               t.x + t.pitch * i + t.dx AS px, t.y + t.pitch * i * 0.5 + t.dy AS py,
+               v.x + v.pitch * i AS gx, v.y + v.pitch * i * 0.5 AS gy,
+               v.x AS bx, v.y AS b_y, v.pitch * 16 AS bw, v.pitch * 8 AS bh
+        FROM top t JOIN ks v USING (l_orderkey), (VALUES {sigmas}) s(i, sigma)
+        WHERE v.blank OR (v.l_suppkey + i) % 3 > 0),
+far AS (SELECT dt_id, gt_id, sigma, ga,
+               CASE WHEN NOT blank THEN px - gx ELSE greatest(0.0, bx - bw - px)
+                    + greatest(0.0, px - (bx + bw * 2)) END AS ex,
+               CASE WHEN NOT blank THEN py - gy ELSE greatest(0.0, b_y - bh - py)
+                    + greatest(0.0, py - (b_y + bh * 2)) END AS ey FROM pts),
+oks AS (SELECT dt_id, gt_id,
+               avg(exp(-(ex * ex + ey * ey) / pow(2 * sigma, 2) / ga / 2)) AS iou
+        FROM far GROUP BY ALL),
+n AS (SELECT t.l_orderkey + 1 AS image_id, CAST(1 AS BIGINT) AS category_id, t.dt_rank,
+             t.id AS dt_id, t.score, (t.pitch * 16) * (t.pitch * 8) AS da,
+             list({{'iou': iou, 'own': 1, 'id': v.id, 'crowd': v.crowd,
+                    'ignore': v.crowd OR v.blank, 'area': v.pitch * v.pitch * 128}})
+               FILTER (WHERE iou >= 0.5) AS found
+      FROM top t LEFT JOIN oks ON oks.dt_id = t.id LEFT JOIN ks v ON v.id = oks.gt_id
+      GROUP BY ALL)"""
+
+
+def _fold(ranges) -> str:
+    """The greedy matching as a recursion over the rank within a group."""
+    return f"""
 s AS (
   SELECT image_id, category_id, thr.t, thr.at_least, ar.area_idx, ar.lo, ar.hi,
          CAST(-1 AS BIGINT) AS dt_rank, CAST(NULL AS BIGINT) AS dt_id,
          CAST(NULL AS DOUBLE) AS score, CAST([] AS BIGINT[]) AS taken, false AS matched,
          false AS ignored
   FROM (SELECT DISTINCT image_id, category_id FROM n),
-       (VALUES {_THRESHOLDS}) thr(t, at_least), (VALUES {_AREAS}) ar(area_idx, lo, hi)
+       (VALUES {_THRESHOLDS}) thr(t, at_least), (VALUES {_areas(ranges)}) ar(area_idx, lo, hi)
   UNION ALL
   SELECT image_id, category_id, t, at_least, area_idx, lo, hi, next_rank, next_id, next_score,
          CASE WHEN best IS NULL OR best.crowd THEN taken ELSE list_append(taken, best.id) END,
@@ -520,23 +574,27 @@ s AS (
                list_aggregate(list_transform(
                  list_filter(n.found, lambda c: c.iou >= s.at_least
                              AND (c.crowd OR NOT list_contains(s.taken, c.id))),
-                 lambda c: {{'normal': NOT c.crowd AND c.area BETWEEN s.lo AND s.hi,
-                             'iou': c.iou, 'id': c.id, 'crowd': c.crowd}}), 'max') AS best
+                 lambda c: {{'normal': NOT c.ignore AND c.area BETWEEN s.lo AND s.hi,
+                             'iou': c.iou, 'own': c.own, 'id': c.id, 'crowd': c.crowd}}), 'max')
+                 AS best
         FROM s JOIN n ON n.image_id = s.image_id AND n.category_id = s.category_id
                      AND n.dt_rank = s.dt_rank + 1)),
 m AS (SELECT * FROM s WHERE dt_rank >= 0)"""
 
-#: Interpolated precision and final recall per (threshold, category, area, maxDet).
-CURVES = f"""
-{MATCHES},
+
+def _curves(candidates: str, ranges=det.AREA_RANGES, max_dets=det.MAX_DETS) -> str:
+    """Interpolated precision, its score, and final recall per (threshold, category, area,
+    maxDet)."""
+    return f"""
+{candidates}, {_fold(ranges)},
 npig AS (SELECT category_id, area_idx, CAST(count(*) AS DOUBLE) AS npig
-         FROM g, (VALUES {_AREAS}) ar(area_idx, lo, hi)
-         WHERE iscrowd = 0 AND w * h BETWEEN lo AND hi GROUP BY ALL),
+         FROM tg, (VALUES {_areas(ranges)}) ar(area_idx, lo, hi)
+         WHERE normal AND area BETWEEN lo AND hi GROUP BY ALL),
 cells AS (SELECT * FROM npig, (VALUES {", ".join(f"({i})" for i in range(len(det.IOU_THRS)))}) x(t),
-                 (VALUES {", ".join(f"({m})" for m in det.MAX_DETS)}) y(max_det)),
+                 (VALUES {", ".join(f"({m})" for m in max_dets)}) y(max_det)),
 levels AS (SELECT CAST(range AS INTEGER) AS r, range * CAST(0.01 AS DOUBLE) AS level
            FROM range(101)),
-sums AS (SELECT t, category_id, area_idx, max_det, npig,
+sums AS (SELECT t, category_id, area_idx, max_det, npig, score,
                 CAST(sum(CAST(matched AS INT)) OVER pos AS DOUBLE) AS tp,
                 CAST(sum(CAST(NOT matched AS INT)) OVER pos AS DOUBLE) AS fp
          FROM m JOIN cells USING (t, category_id, area_idx)
@@ -545,50 +603,89 @@ sums AS (SELECT t, category_id, area_idx, max_det, npig,
                         ORDER BY score DESC, image_id, dt_rank
                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 curve AS (SELECT t, category_id, area_idx, max_det, tp / npig AS rc,
-                 max(tp / (fp + tp + CAST({det.EPS!r} AS DOUBLE))) AS pr
+                 max(tp / (fp + tp + CAST({det.EPS!r} AS DOUBLE))) AS pr, max(score) AS sc
           FROM sums GROUP BY ALL),
-best AS (SELECT t, category_id, area_idx, max_det, r, max(pr) AS pr
+best AS (SELECT t, category_id, area_idx, max_det, r, max(pr) AS pr, max(sc) AS sc
          FROM curve ASOF JOIN levels ON curve.rc >= levels.level GROUP BY ALL),
+firsts AS (SELECT t, category_id, area_idx, max(score) AS first_score FROM m GROUP BY ALL),
 precisions AS (
   SELECT t, r, category_id, area_idx, max_det,
-         coalesce(max(pr) OVER (PARTITION BY t, category_id, area_idx, max_det ORDER BY r DESC
-                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-                  CAST(0.0 AS DOUBLE)) AS prec
-  FROM (SELECT * FROM cells, levels) LEFT JOIN best USING (t, category_id, area_idx, max_det, r)),
+         coalesce(max(pr) OVER onward, CAST(0.0 AS DOUBLE)) AS prec,
+         coalesce(CASE WHEN r = 0 THEN first_score ELSE max(sc) OVER onward END,
+                  CAST(0.0 AS DOUBLE)) AS first_at
+  FROM (SELECT * FROM cells, levels) LEFT JOIN best USING (t, category_id, area_idx, max_det, r)
+       LEFT JOIN firsts USING (t, category_id, area_idx)
+  WINDOW onward AS (PARTITION BY t, category_id, area_idx, max_det ORDER BY r DESC
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 recalls AS (SELECT t, category_id, area_idx, max_det, coalesce(max(rc), 0.0) AS rec
             FROM cells LEFT JOIN curve USING (t, category_id, area_idx, max_det) GROUP BY ALL)"""
 
 
-def _summary_rows() -> str:
-    """The twelve numbers: (name, measure, threshold or none, area, maxDet)."""
-    rows = [("AP", "prec", None, 0, 100), ("AP50", "prec", 0, 0, 100), ("AP75", "prec", 5, 0, 100),
-            ("AP_small", "prec", None, 1, 100), ("AP_medium", "prec", None, 2, 100),
-            ("AP_large", "prec", None, 3, 100), ("AR1", "rec", None, 0, 1),
-            ("AR10", "rec", None, 0, 10), ("AR100", "rec", None, 0, 100),
-            ("AR_small", "rec", None, 1, 100), ("AR_medium", "rec", None, 2, 100),
-            ("AR_large", "rec", None, 3, 100)]
+BOX_CURVES = _curves(_box_candidates("category_id"))
+
+
+def _summary_rows(names, top: int, counted=(1, 10, 100)) -> str:
+    """The summary numbers: (name, measure, threshold or none, area, maxDet). ``names``: the
+    area labels; with "small" among them the twelve numbers of boxes, else ten."""
+    area = {name: i for i, name in enumerate(names)}
+    own = [a for a in ("small", "medium", "large") if a in area]
+    rows = [("AP", "prec", None, 0, top), ("AP50", "prec", 0, 0, top), ("AP75", "prec", 5, 0, top)]
+    rows += [(f"AP_{a}", "prec", None, area[a], top) for a in own]
+    rows += ([(f"AR{m}", "rec", None, 0, m) for m in counted] if "small" in area else
+             [("AR", "rec", None, 0, top), ("AR50", "rec", 0, 0, top), ("AR75", "rec", 5, 0, top)])
+    rows += [(f"AR_{a}", "rec", None, area[a], top) for a in own]
     return " UNION ALL ".join(
         f"SELECT CAST({i} AS INTEGER) AS idx, '{name}' AS stat, "
         f"round(coalesce(avg({of}), -1.0), 9) AS value "
         f"FROM {'precisions' if of == 'prec' else 'recalls'} "
-        f"WHERE area_idx = {area} AND max_det = {top}" + (f" AND t = {t}" if t is not None else "")
-        for i, (name, of, t, area, top) in enumerate(rows))
+        f"WHERE area_idx = {at} AND max_det = {most}" + (f" AND t = {t}" if t is not None else "")
+        for i, (name, of, t, at, most) in enumerate(rows))
+
+
+_BOX_AREAS = [n for n, _, _ in det.AREA_RANGES]
+_KEYPOINT_AREAS = [n for n, _, _ in det.KPT_AREA_RANGES]
 
 
 def detection_sql() -> dict[str, str]:
     return {
         "detection_matches": f"""
-WITH RECURSIVE {MATCHES}
+WITH RECURSIVE {_box_candidates("category_id")}, {_fold(det.AREA_RANGES)}
 SELECT image_id, category_id, dt_id, CAST(dt_rank AS INTEGER) AS dt_rank, area_idx,
        CAST(count_if(matched) AS INTEGER) AS n_matched,
        CAST(count_if(ignored) AS INTEGER) AS n_ignored
 FROM m GROUP BY image_id, category_id, dt_id, dt_rank, area_idx""",
         "detection_precision": f"""
-WITH RECURSIVE {CURVES}
-SELECT t, r, category_id, area_idx, max_det, round(prec, 9) AS precision FROM precisions""",
+WITH RECURSIVE {BOX_CURVES}
+SELECT t, r, category_id, area_idx, max_det, round(prec, 9) AS precision,
+       round(first_at, 9) AS score FROM precisions""",
+        "detection_recall": f"""
+WITH RECURSIVE {BOX_CURVES}
+SELECT t, category_id, area_idx, max_det, round(rec, 9) AS recall FROM recalls""",
         "detection_summary": f"""
-WITH RECURSIVE {CURVES}
-SELECT idx, stat, value FROM ({_summary_rows()})""",
+WITH RECURSIVE {BOX_CURVES}
+SELECT idx, stat, value FROM ({_summary_rows(_BOX_AREAS, 100)})""",
+        "detection_summary_all_categories": f"""
+WITH RECURSIVE {_curves(_box_candidates("CAST(-1 AS BIGINT)"))}
+SELECT idx, stat, value FROM ({_summary_rows(_BOX_AREAS, 100)})""",
+        "keypoint_summary": f"""
+WITH RECURSIVE {_curves(_keypoint_candidates(), det.KPT_AREA_RANGES, det.KPT_MAX_DETS)}
+SELECT idx, stat, value FROM ({_summary_rows(_KEYPOINT_AREAS, 20)})""",
+        "scene_overlaps": """
+WITH b AS (
+  SELECT l_returnflag AS flag, l_suppkey % 10 AS image_id, l_partkey AS partkey,
+         l_orderkey AS orderkey, l_linenumber AS linenumber,
+         (l_partkey * 7919 % 40009) / CAST(8.0 AS DOUBLE) AS x,
+         (l_orderkey * 31 % 40013) / CAST(8.0 AS DOUBLE) AS y,
+         max(l_quantity) + 1.0 AS w, max(l_extendedprice) % 100.0 + 1.0 AS h
+  FROM lineitem GROUP BY ALL),
+p AS (SELECT a.*, c.partkey AS p2, c.orderkey AS o2, c.linenumber AS l2, c.w * c.h AS area2,
+             least(a.x + a.w, c.x + c.w) - greatest(a.x, c.x) AS iw,
+             least(a.y + a.h, c.y + c.h) - greatest(a.y, c.y) AS ih
+      FROM b a JOIN b c ON a.image_id = c.image_id AND a.flag = 'N' AND c.flag = 'R'
+        AND a.x < c.x + c.w AND c.x < a.x + a.w AND a.y < c.y + c.h AND c.y < a.y + a.h)
+SELECT image_id, partkey AS a_partkey, orderkey AS a_orderkey, linenumber AS a_linenumber,
+       p2 AS b_partkey, o2 AS b_orderkey, l2 AS b_linenumber,
+       round(iw * ih / (w * h + area2 - iw * ih), 9) AS iou FROM p""",
         "detection_pairs": f"""
 WITH {DET},
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, category_id

@@ -78,3 +78,13 @@ def reliable_checkpoint(df):
     instead of recomputing them – also after an executor is lost."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored_table(df, name: str):
+    """Write ``df`` as a Parquet table in the shared scratch folder and return it reread: later
+    steps read its files (with column pruning) instead of recomputing it, also after an
+    executor is lost."""
+    base = ensure_checkpoint_dir(df.sparkSession)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
