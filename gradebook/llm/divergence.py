@@ -104,15 +104,15 @@ def _share_of(count: np.ndarray, total: int, terms: int) -> np.ndarray:
 
 
 def groups_of(counts: DataFrame, kept: DataFrame, totals: DataFrame) -> DataFrame:
-    """``lang, source, no, n, terms``: the groups, numbered within their language, with the
-    sum of their counts and the vocabulary size."""
+    """``lang, source, no, n, terms, lang_n``: the groups, numbered within their language, with
+    the sum of their counts, the vocabulary size and the language's sum."""
     sums = kept.groupBy("lang", "source").agg(F.sum("tf").alias("n"))
     number = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
     return counts.where("term is null").select("lang", "source").distinct().withColumn(
         "no", number).join(sums, ["lang", "source"], "left").join(
-        totals.select("lang", "terms"), "lang", "left").select(
-        "lang", "source", "no", F.coalesce("n", F.lit(0)).alias("n"),
-        F.coalesce("terms", F.lit(0)).alias("terms"))
+        totals, "lang", "left").select(
+        "lang", "source", "no", *[F.coalesce(c, F.lit(0)).alias(c)
+                                  for c in ("n", "terms", "lang_n")])
 
 
 def ordered_vectors(kept: DataFrame, groups: DataFrame) -> DataFrame:
@@ -257,8 +257,8 @@ def audit(docs: DataFrame) -> DataFrame:
 
     p = share(F.col("tf"), F.col("n"), F.col("terms"))
     q = share(F.col("lang_tf"), F.col("lang_n"), F.col("terms"))
-    over = kept.join(groups.drop("no", "terms"), ["lang", "source"]).join(
-        totals, "lang").withColumn("value", p - q).where("value > 0")
+    over = kept.join(groups.drop("no"), ["lang", "source"]).withColumn(
+        "value", p - q).where("value > 0")
     parts = [(pairs, "pair", _ranked), (over.withColumnRenamed("term", "item"), "term",
              lambda rows: _ranked(rows).where(F.col("rank") <= TOP_TERMS))]
     found = [rank(rows.select("lang", "source", F.lit(name).alias("part"), "item",
