@@ -73,6 +73,8 @@ def queries() -> dict[str, Plan]:
         "stream_checkpoint_accuracy": stp.stream_checkpoint_accuracy,
         "stream_metric_flush": stp.stream_metric_flush,
         "stream_result_pickup": stp.stream_result_pickup,
+        "stream_closed_windows": stp.stream_closed_windows,
+        "stream_logged_metrics": stp.stream_logged_metrics,
         "model_names": nmp.model_names,
     }
     return q | lib.PLANS

@@ -256,6 +256,10 @@ FROM adv""",
         "logged_metrics": f"""
 WITH {STEP_METRICS}
 SELECT CAST(floor(step / 5) AS BIGINT) AS log_window, name, round(avg(value), 6) AS value
+FROM m GROUP BY 1, 2""",
+        "stream_logged_metrics": f"""
+WITH {STEP_METRICS}
+SELECT CAST(floor(step / 5) AS BIGINT) AS log_window, name, round(avg(value), 6) AS value
 FROM m GROUP BY 1, 2""",
         "token_row_stats": f"""
 WITH {TOKENS}
@@ -784,6 +788,16 @@ SELECT CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS hour, event_type AS n
        count(*) AS n, round(avg(value), 6) AS mean_value
 FROM events GROUP BY 1, 2""",
         "stream_result_pickup": BEST,
+        "stream_closed_windows": """
+WITH e AS (
+  SELECT *, user_id % 50 = 0 AS slow, date_trunc('day', ts) AS day FROM events),
+clock AS (SELECT max(ts) - INTERVAL 2 DAY AS moment FROM e WHERE NOT slow),
+m AS (SELECT *, slow AND day + INTERVAL 1 DAY <= (SELECT moment FROM clock) AS late FROM e)
+SELECT event_type AS exp, CAST(floor(epoch_ms(day) / 86400000) AS BIGINT) AS step,
+       count_if(NOT late) AS total_samples,
+       count_if(NOT late AND value > 10.0) AS correct_predictions,
+       count_if(late) AS late_samples, count_if(late AND value > 10.0) AS late_correct
+FROM m GROUP BY 1, 2""",
     }
 
 
