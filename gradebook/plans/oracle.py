@@ -735,10 +735,50 @@ DIST = ("list_reduce(list_transform(list_zip({v}, {c}), lambda z: "
         "(CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2])), lambda a, b: a + b)")
 
 
+def _trained_probe(epochs: int, rate: float) -> str:
+    """Gradient steps from zero weights, one block of CTEs per epoch."""
+    steps = ["""
+v AS (SELECT vec_id, label, CASE vec_id % 10 WHEN 0 THEN 'validation' WHEN 1 THEN 'test'
+             ELSE 'train' END AS part,
+             list_append(list_transform(embedding, lambda e: CAST(e AS DOUBLE)),
+                         CAST(1.0 AS DOUBLE)) AS e FROM embeddings),
+x AS (SELECT vec_id, label, part, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v),
+w0 AS (SELECT label AS l, i, CAST(0.0 AS DOUBLE) AS w
+       FROM (SELECT DISTINCT label FROM v WHERE part = 'train'),
+            (SELECT DISTINCT i FROM x)),
+n AS (SELECT count(*) AS n FROM v WHERE part = 'train')"""]
+    for k in range(epochs + 1):
+        steps.append(f"""
+z{k} AS (SELECT vec_id, label, part, l, sum(x * w) AS z FROM x JOIN w{k} USING (i) GROUP BY ALL),
+e{k} AS (SELECT *, exp(z - max(z) OVER (PARTITION BY vec_id)) AS u FROM z{k}),
+p{k} AS (SELECT *, u / sum(u) OVER (PARTITION BY vec_id) AS p FROM e{k}),
+a{k} AS (SELECT vec_id, any_value(part) AS part, any_value(label) AS label,
+                arg_max(l, z) AS guess, -ln(max(p) FILTER (WHERE l = label)) AS loss
+         FROM p{k} GROUP BY vec_id),
+w{k + 1} AS (SELECT l, i, any_value(w) - CAST({rate!r} AS DOUBLE)
+                * sum((p - CASE WHEN l = label THEN 1 ELSE 0 END) * x) / any_value(n) AS w
+             FROM p{k} JOIN x USING (vec_id, label, part) JOIN w{k} USING (l, i), n
+             WHERE part = 'train' GROUP BY l, i)""")
+    rows = " UNION ALL ".join(f"""
+SELECT {k} AS epoch, avg(loss) FILTER (WHERE part = 'train') AS train_loss,
+       {", ".join(f"avg(CAST(guess = label AS INT)) FILTER (WHERE part = '{p}') AS {c}"
+                  for p, c in (("train", "train_accuracy"), ("validation", "val_accuracy"),
+                               ("test", "test_accuracy")))} FROM a{k}"""
+                              for k in range(1, epochs + 1))
+    return f"""
+WITH {", ".join(steps)}, found AS ({rows})
+SELECT CAST(epoch AS INTEGER) AS epoch, round(train_loss, 6) AS train_loss,
+       round(train_accuracy, 6) AS train_accuracy, round(val_accuracy, 6) AS val_accuracy,
+       round(test_accuracy, 6) AS test_accuracy,
+       epoch = (SELECT arg_min(epoch, (-val_accuracy, epoch)) FROM found) AS is_best
+FROM found"""
+
+
 def probe_sql() -> dict[str, str]:
     dist = DIST.format(v="v.embedding", c="cent.c")
     dist_c = DIST.format(v="sp.embedding", c="c")
     return {
+        "logistic_probe_epochs": _trained_probe(4, 4.0),
         "centroid_probe": f"""
 WITH {EMB_SPLIT},
 d AS (SELECT v.vec_id, v.label, cent.cl, {dist} AS dist
