@@ -128,6 +128,22 @@ def normalise_image_paths(image: Column | str, folder: str) -> Column:
                     .otherwise(F.concat(F.lit(base + "/" if base else ""), x))))
 
 
+def image_paths(image: Column, folder: str) -> Column:
+    """B4 of a VARIANT: a path or a list of paths → array of paths joined to ``folder``
+    (``os.path.join`` semantics). An absent image is NULL; any other type raises, an explicit
+    null included."""
+    kind = F.schema_of_variant(image)
+    paths = F.when(kind == "STRING", F.array(F.try_variant_get(image, "$", "string"))).when(
+        kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.try_variant_get(image, "$", "array<string>"))
+    base = folder.rstrip("/")
+    joined = F.transform(paths, lambda x: F.when(x.startswith("/"), x).otherwise(
+        F.concat(F.lit(base + "/" if base else ""), x)))
+    return F.when(image.isNull(), F.lit(None).cast("array<string>")).when(
+        paths.isNull() | F.exists(paths, lambda x: x.isNull()),
+        F.raise_error(F.concat(F.lit("Unsupported image type: "), kind)).cast("array<string>")
+    ).otherwise(joined)
+
+
 def problem_from_conversations(conversations: Column | str) -> Column:
     """First turn's value with every ``<image>`` removed."""
     return F.replace(_c(conversations)[0]["value"], F.lit(IMAGE_TAG), F.lit(""))

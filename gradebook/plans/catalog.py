@@ -68,6 +68,7 @@ def queries() -> dict[str, Plan]:
         "scene_overlaps": dtp.scene_overlaps,
         "centroid_probe": pbp.centroid_probe,
         "attention_pooling": pbp.attention_pooling,
+        "attentive_pooler": pbp.attentive_pooler,
         "probe_cross_entropy": pbp.probe_cross_entropy,
         "logistic_probe_epochs": pbp.logistic_probe_epochs,
         "stream_checkpoint_accuracy": stp.stream_checkpoint_accuracy,

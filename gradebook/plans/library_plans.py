@@ -16,6 +16,7 @@ from ..functions.rewards import RewardFn, register_reward, select_reward
 from ..functions.vision import tile_boxes
 from ..operators import detection as det
 from ..operators import evaluation as ev
+from ..operators import guarded as guard
 from ..operators import grpo, probe
 from ..operators import records as rec
 from ..operators import sampling as sm
@@ -282,10 +283,67 @@ def plugged_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", registry["names_word"]("text", "lang").alias("reward"))
 
 
+def union_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record per document whose image is a path, a list of two paths (one of them
+    absolute) or absent, and whose reward method is named, an explicit null or absent."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    name = F.concat(F.lit("d"), F.col("doc_id"), F.lit(".png"))
+    kind = F.col("doc_id") % 3
+    image = F.when(kind == 0, F.to_json(F.array(name))).when(
+        kind == 1, F.to_json(F.array(name, F.lit("/abs/x.png"))))
+    one = F.when(kind == 0, F.substring(image, 2, F.length(image) - 2)).otherwise(image)
+    method = F.when(F.col("doc_id") % 4 == 0, ', "accu_reward_method": null').when(
+        F.col("doc_id") % 4 == 1, ', "accu_reward_method": "iou"').otherwise("")
+    turns = F.to_json(F.array(*[F.struct(F.lit(who).alias("from"), v.alias("value")) for who, v in (
+        ("human", F.concat(F.lit("<image>"), F.coalesce("text", F.lit("")))), ("gpt", name))]))
+    line = F.concat(F.lit('{"id": "'), "doc_id", F.lit('"'), F.when(one.isNull(), "").otherwise(
+        F.concat(F.lit(', "image": '), one)), method, F.lit(', "conversations": '), turns, F.lit("}"))
+    path = scratch_path(spark, "union-jsonl")
+    docs.select(line.alias("value")).write.text(path)
+    ex = src.read_rl_jsonl(spark, [path], ["/img"], ["default"], "mixed")
+    return ex.select(F.col("id").cast("long").alias("doc_id"),
+                     F.array_join("image_path", "|").alias("image_path"),
+                     F.md5("problem").alias("problem_md5"), "solution", "accu_reward_method",
+                     F.size(F.col("prompt")[0]["content"]).alias("prompt_items"))
+
+
+def _words_per_letter(pdf: pd.DataFrame) -> pd.Series:
+    """A user's stage that fails on some texts: those without words, and those marked."""
+    if pdf["text"].isna().any():
+        raise TypeError("no text")
+    counts = pdf["text"].str.count(" ") + 1
+    if (pdf["doc_id"] % 97 == 5).any():
+        raise RuntimeError("marked")
+    return counts
+
+
+def error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L4: what a user function, a reader and a reward leave of bad records: the error per row
+    next to the values of all others."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.when(F.col("doc_id") % 89 != 3, F.col("text")).alias("text"))
+    words = guard.guarded(docs, _words_per_letter, "long").select(
+        F.lit("function").alias("stage"), "doc_id", "value", "error")
+    path = scratch_path(spark, "guarded-json")
+    line = F.when(F.col("doc_id") % 50 == 7, F.lit("{broken")).when(
+        F.col("doc_id") % 50 == 8, F.lit('{"id": "x"}')).otherwise(
+        F.to_json(F.struct(F.col("doc_id").alias("id"), F.length("text").alias("size"))))
+    docs.select(line.alias("value")).write.text(path)
+    read = guard.read_json_guarded(spark, path, "id long, size long").select(
+        F.lit("reader").alias("stage"), F.col("value.id").alias("doc_id"),
+        F.col("value.size").alias("value"), "error")
+    reward = guard.guarded_column(F.length("text").cast("long"), {
+        "ValueError: no solution": F.col("text").isNull(),
+        "ValueError: too short": F.length("text") < 40})
+    scored = docs.select(F.lit("reward").alias("stage"), "doc_id", reward.alias("r")).select(
+        "stage", "doc_id", "r.value", "r.error")
+    return words.unionByName(read).unionByName(scored)
+
+
 PLANS = {f.__name__: f for f in (
     detection_load, category_filter, keypoint_similarities, gathered_patches, repeated_blocks,
     batch_predictions, model_scores, box_formats, next_tokens, token_log_probabilities,
     padded_sequences, clipped_rows,
     model_families, chat_messages, crop_boxes, rows_by_id, forgetting_by_dataset,
     distinct_sources, registered_records, labelled_items, rollout_log, evaluation_samples,
-    plugged_reward)}
+    plugged_reward, union_examples, error_rows)}

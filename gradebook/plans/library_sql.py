@@ -40,6 +40,31 @@ e AS (SELECT id, any_seen, visible, sigma,
 SELECT id, round(avg(exp(-(ex * ex + ey * ey) / pow(2 * sigma, 2) / CAST(24.0 AS DOUBLE) / 2)),
                  9) AS oks
 FROM e WHERE visible OR NOT any_seen GROUP BY id""",
+        "union_examples": """
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '/img/d' || doc_id || '.png'
+            WHEN 1 THEN '/img/d' || doc_id || '.png|/abs/x.png' END AS image_path,
+       md5(replace(coalesce(text, ''), '<image>', '')) AS problem_md5,
+       'd' || doc_id || '.png' AS solution,
+       CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'iou' ELSE 'default' END
+         AS accu_reward_method,
+       CAST(CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 1 END AS INTEGER) AS prompt_items
+FROM documents""",
+        "error_rows": """
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 89 <> 3 THEN text END AS text FROM documents),
+f AS (SELECT 'function' AS stage, doc_id,
+             CASE WHEN text IS NULL THEN 'TypeError: no text'
+                  WHEN doc_id % 97 = 5 THEN 'RuntimeError: marked' END AS error,
+             length(text) - length(replace(text, ' ', '')) + 1 AS value FROM d),
+r AS (SELECT 'reader' AS stage,
+             CASE WHEN doc_id % 50 NOT IN (7, 8) THEN doc_id END AS doc_id,
+             CASE WHEN doc_id % 50 IN (7, 8) THEN 'ValueError: no record of the schema' END
+               AS error, length(text) AS value FROM d),
+s AS (SELECT 'reward' AS stage, doc_id,
+             CASE WHEN text IS NULL THEN 'ValueError: no solution'
+                  WHEN length(text) < 40 THEN 'ValueError: too short' END AS error,
+             length(text) AS value FROM d)
+SELECT stage, doc_id, CAST(CASE WHEN error IS NULL THEN value END AS BIGINT) AS value, error
+FROM (SELECT * FROM f UNION ALL SELECT * FROM r UNION ALL SELECT * FROM s)""",
         "gathered_patches": """
 SELECT vec_id, CAST(embedding[vec_id % 64 + 1] AS DOUBLE) AS item_0,
        CAST(embedding[4] AS DOUBLE) AS item_1, CAST(embedding[1] AS DOUBLE) AS item_2

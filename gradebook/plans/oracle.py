@@ -774,10 +774,46 @@ SELECT CAST(epoch AS INTEGER) AS epoch, round(train_loss, 6) AS train_loss,
 FROM found"""
 
 
+def _attentive_pooler() -> str:
+    """One query over the vectors of a class: norm, four heads, residual, norm, MLP."""
+    def matrix(n: int, m: int, by: int) -> str:
+        return (f"(SELECT i, j, CAST((i * {by} + j * 7 + 3) % 13 - 6 AS DOUBLE) / 50.0 AS w "
+                f"FROM range({n}) a(i), range({m}) b(j))")
+
+    def norm(source: str, key: str) -> str:
+        return (f"(SELECT *, (x - avg(x) OVER own) / sqrt(var_pop(x) OVER own "
+                f"+ CAST(1e-5 AS DOUBLE)) AS nx FROM {source} WINDOW own AS (PARTITION BY {key}))")
+    return f"""
+WITH x AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS j,
+                  CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+n AS {norm("x", "vec_id")},
+query AS (SELECT i AS j, w AS x FROM {matrix(64, 1, 5)}),
+q AS (SELECT i, sum(w * x) AS q FROM {matrix(64, 64, 11)} JOIN query USING (j) GROUP BY i),
+k AS (SELECT vec_id, label, i, sum(w * nx) AS k FROM n JOIN {matrix(64, 64, 17)} USING (j)
+      GROUP BY ALL),
+v AS (SELECT vec_id, m.i AS i, sum(n.nx * m.w) + any_value(b.w) AS v
+      FROM n JOIN {matrix(64, 64, 23)} m USING (j)
+           JOIN {matrix(64, 1, 19)} b ON b.i = m.i GROUP BY vec_id, m.i),
+s AS (SELECT vec_id, label, i // 16 AS head, sum(q * k) / 4.0 AS s FROM k JOIN q USING (i)
+      GROUP BY ALL),
+e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY label, head)) AS e FROM s),
+y AS (SELECT label, i AS j, sum(e * v) / sum(e) AS y
+      FROM e JOIN v ON v.vec_id = e.vec_id AND v.i // 16 = e.head GROUP BY ALL),
+r AS (SELECT label, j, y + x AS x FROM y JOIN query USING (j)),
+rn AS {norm("r", "label")},
+h AS (SELECT label, m.i AS j, greatest(sum(m.w * nx) + any_value(b.w), 0.0) AS h
+      FROM rn JOIN {matrix(128, 64, 29)} m USING (j) JOIN {matrix(128, 1, 37)} b ON b.i = m.i
+      GROUP BY label, m.i),
+o AS (SELECT label, i, sum(w * h) AS o FROM h JOIN {matrix(64, 128, 31)} USING (j) GROUP BY ALL)
+SELECT r.label, CAST(r.j AS INTEGER) AS dim, round(x + o, 6) AS value
+FROM r JOIN o ON o.label = r.label AND o.i = r.j"""
+
+
 def probe_sql() -> dict[str, str]:
     dist = DIST.format(v="v.embedding", c="cent.c")
     dist_c = DIST.format(v="sp.embedding", c="c")
     return {
+        "attentive_pooler": _attentive_pooler(),
         "logistic_probe_epochs": _trained_probe(4, 4.0),
         "centroid_probe": f"""
 WITH {EMB_SPLIT},

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import pooling as pl
 from ..operators import probe as pb
 from ..operators.ranking import numeric_block, positions
 from ..operators.sampling import exact_split
@@ -44,6 +45,36 @@ def attention_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled.select("label", "dim", F.round("value", ROUND).alias("value"))
 
 
+#: Fixed values of the pooler plan: width, hidden width, heads, and per matrix its (rows,
+#: columns, multiplier) of the value (i * multiplier + j * 7 + 3) % 13 - 6, over 50.
+WIDTH, HIDDEN, HEADS = 64, 128, 4
+MATRICES = {"query": (WIDTH, 1, 5), "q": (WIDTH, WIDTH, 11), "k": (WIDTH, WIDTH, 17),
+            "v": (WIDTH, WIDTH, 23), "fc1": (HIDDEN, WIDTH, 29), "fc2": (WIDTH, HIDDEN, 31),
+            "b_v": (WIDTH, 1, 19), "b_fc1": (HIDDEN, 1, 37)}
+
+
+def pooler_table(spark: SparkSession) -> DataFrame:
+    """The weights of the pooler plan as ``name, i, j, value``."""
+    parts = [spark.range(n * m).select(
+        F.lit(name).alias("name"), F.floor(F.col("id") / m).alias("i"),
+        (F.col("id") % m).alias("j")).withColumn(
+        "value", ((F.col("i") * by + F.col("j") * 7 + 3) % 13 - 6) / 50.0)
+        for name, (n, m, by) in MATRICES.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def attentive_pooler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-head attention of one query over the vectors of a class, residual and MLP."""
+    emb = table(spark, sf_dir, "embeddings").select("label", "embedding")
+    weights = pl.weights_from_table(pooler_table(spark), HEADS, "relu")
+    pooled = pl.attentive_pooler(emb, "label", "embedding", weights)
+    return pooled.select("label", F.posexplode("pooled").alias("dim", "value")).select(
+        "label", "dim", F.round("value", ROUND).alias("value"))
+
+
 def probe_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy of the centroid logits, per batch of 64 in vec_id order and the
     mean of batch means (J4 F9 E8)."""

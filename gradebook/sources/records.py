@@ -1,8 +1,8 @@
 """Training-record sources and sinks.
 
-RL JSONL records are ``{id, image, conversations:[{from, value}], accu_reward_method?}``
-where ``image`` is a path **or** a list of paths; they are read with an explicit schema
-(``image`` as a string holding either form) and normalised into examples.
+RL JSONL records are ``{id, image?, conversations:[{from, value}], accu_reward_method?}``
+where ``image`` is a path **or** a list of paths; lines are parsed to VARIANT, so either form
+keeps its type, and normalised into examples.
 """
 
 from __future__ import annotations
@@ -15,15 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import prompts as pr
 
-RL_SCHEMA = T.StructType([
-    T.StructField("id", T.StringType()),
-    T.StructField("image", T.StringType()),
-    T.StructField("conversations", T.ArrayType(T.StructType([
-        T.StructField("from", T.StringType()),
-        T.StructField("value", T.StringType()),
-    ]))),
-    T.StructField("accu_reward_method", T.StringType()),
-])
+TURNS = "array<struct<`from`:string,value:string>>"
 
 SFT_SCHEMA = T.StructType([
     T.StructField("messages", T.ArrayType(T.StructType([
@@ -92,13 +84,20 @@ def read_rl_jsonl(spark: SparkSession, files: Sequence[str], image_folders: Sequ
         raise ValueError("Number of reward methods must match number of data files")
     parts = []
     for i, (f, folder, method) in enumerate(zip(files, image_folders, methods)):
-        raw = spark.read.schema(RL_SCHEMA).json(f)
+        lines = spark.read.text(f).where(F.trim("value") != "")
+        get = lambda path, t: F.variant_get(F.col("v"), path, t)
+        raw = lines.select(F.parse_json("value").alias("v")).select(
+            get("$.id", "string").alias("id"), get("$.image", "variant").alias("image"),
+            get("$.conversations", TURNS).alias("conversations"),
+            get("$.accu_reward_method", "variant").alias("own"))
+        method_of = F.when(F.col("own").isNull(), F.lit(method)).otherwise(
+            F.variant_get(F.col("own"), "$", "string"))  # an explicit null stays NULL
         parts.append(raw.select(
             F.lit(i).alias("file_idx"), "id",
-            pr.normalise_image_paths("image", folder).alias("image_path"),
+            pr.image_paths(F.col("image"), folder).alias("image_path"),
             pr.problem_from_conversations("conversations").alias("problem"),
             pr.solution_from_conversations("conversations").alias("solution"),
-            F.coalesce(F.col("accu_reward_method"), F.lit(method)).alias("accu_reward_method"),
+            method_of.alias("accu_reward_method"),
             F.lit(dataset_name).cast("string").alias("dataset_name"),
         ))
     out = parts[0]

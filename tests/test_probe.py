@@ -82,3 +82,43 @@ def test_trained_probe_edges(spark, odd):
     assert pb.trained_probe(odd.limit(0), 3, 0.5).count() == 0
     only = pb.trained_probe(odd.where("part = 'train'"), 2, 0.5).collect()
     assert [r.val_accuracy for r in only] == [None, None] and not any(r.is_best for r in only)
+
+
+@pytest.mark.parametrize("heads, mlp", [(1, False), (4, True), (2, True)])
+def test_attentive_pooler_against_numpy(spark, heads, mlp):
+    from math import erf
+
+    from gradebook.operators import pooling as pl
+    rng = np.random.default_rng(heads)
+    d, m = 8, 12
+    w = pl.PoolerWeights(
+        rng.normal(size=d), *(rng.normal(size=(d, d)) for _ in range(3)), heads,
+        rng.normal(size=(m, d)) if mlp else None, rng.normal(size=(d, m)) if mlp else None,
+        {"k": rng.normal(size=d), "norm2": rng.normal(size=d), "fc2": rng.normal(size=d)},
+        {"norm1": rng.normal(size=d)})
+    rows = [(g, rng.normal(size=d).tolist()) for g in (1, 1, 1, 2, None, None) for _ in range(7)]
+    odd = [(1, None), (2, [1.0] * 7), (2, [None] * 8), (9, None)]
+    df = spark.createDataFrame(rows + odd, "g long, vec array<double>").repartition(5)
+    got = {r.g: r.pooled for r in pl.attentive_pooler(df, "g", "vec", w).collect()}
+
+    def norm(name, x):
+        if not mlp:
+            return x
+        x = (x - x.mean(-1, keepdims=True)) / np.sqrt(x.var(-1, keepdims=True) + 1e-5)
+        return x * w.scale.get(name, 1.0) + w.bias.get(name, 0.0)
+    assert set(got) == {1, 2, None}
+    for g in got:
+        x = norm("norm1", np.array([v for k, v in rows if k == g]))
+        k, v, q = x @ w.k.T + w.bias["k"], x @ w.v.T, w.query @ w.q.T
+        y = np.zeros(d)
+        for h in range(heads):
+            s = slice(h * d // heads, (h + 1) * d // heads)
+            score = np.exp(k[:, s] @ q[s] * (d // heads) ** -0.5)
+            y[s] = score / score.sum() @ v[:, s]
+        if mlp:
+            y = w.query + y
+            z = norm("norm2", y) @ w.fc1.T
+            z = np.array([a * 0.5 * (1 + erf(a / 2 ** 0.5)) for a in z])
+            y = y + z @ w.fc2.T + w.bias["fc2"]
+        assert got[g] == pytest.approx(y.tolist())
+    assert pl.attentive_pooler(df.limit(0), "g", "vec", w).count() == 0
