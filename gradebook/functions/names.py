@@ -56,19 +56,20 @@ def vlm_module(model_id: Column | str) -> Column:
             .otherwise(F.raise_error(F.concat(F.lit("unsupported model: "), _c(model_id)))))
 
 
-PARAM_PATTERN = r"((\d+(\.\d+)?)(x(\d+(\.\d+)?))?)([bm])"
+#: A plain decimal number, and a size: one or two of them and a unit.
+NUMBER = "[0-9]+(?:[.][0-9]+)?"
+SIZE = f"{NUMBER}(?:x{NUMBER})?[bm]"
 
 
 def param_count(model_id: Column | str) -> Column:
     """Largest ``<n>[x<m>](b|m)`` in the lower-cased name, as an integer; -1 if none."""
-    found = F.regexp_extract_all(F.lower(_c(model_id)), F.lit(PARAM_PATTERN), 0)
+    found = F.regexp_extract_all(F.lower(_c(model_id)), F.lit(SIZE), F.lit(0))
 
     def value(m: Column) -> Column:
-        n1 = F.regexp_extract(m, r"^(\d+(\.\d+)?)", 1).cast("double")
-        n2 = F.regexp_extract(m, r"x(\d+(\.\d+)?)", 1)
-        num = F.when(n2 != "", n1 * n2.cast("double")).otherwise(n1)
-        unit = F.when(m.endswith("b"), F.lit(1e9)).otherwise(F.lit(1e6))
-        return num * unit
+        factors = F.transform(F.split(F.regexp_replace(m, "[bm]$", ""), "x"),
+                              lambda n: n.cast("double"))
+        return F.aggregate(factors, F.when(m.endswith("b"), F.lit(1e9)).otherwise(F.lit(1e6)),
+                           lambda acc, n: acc * n)
 
     best = F.array_max(F.transform(found, value))
     return F.coalesce(best.cast("long"), F.lit(-1).cast("long"))

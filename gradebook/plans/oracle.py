@@ -349,35 +349,36 @@ FROM s LEFT JOIN agg USING (conv_id)"""
     request = (f"md5(replace(replace({_lit(pr.COT_REQUEST)}, '{{original_question}}', "
                "coalesce(question, '')), '{original_answer}', coalesce(answer, '')))")
     q["cot_records"] = f"""
-WITH parts AS (
-  SELECT conv_id,
-         arg_min(text, turn) FILTER (WHERE role = 'user') AS question,
-         arg_min(text, turn) FILTER (WHERE role = 'assistant') AS answer,
-         arg_min(text, turn) FILTER (WHERE turn = 3) AS extra
-  FROM conversations GROUP BY conv_id),
+WITH said AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text,
+         count_if(role = 'user') OVER (PARTITION BY conv_id ORDER BY turn, role, text
+                                       ROWS UNBOUNDED PRECEDING) AS part
+  FROM conversations),
+parts AS (
+  SELECT conv_id, part, min(text) FILTER (WHERE role = 'user') AS question,
+         (list(text ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'))[-1] AS answer,
+         coalesce(string_agg('<think>' || text || '</think>', '' ORDER BY turn, role, text)
+                  FILTER (WHERE role = 'assistant'), '') AS thoughts
+  FROM said GROUP BY conv_id, part),
 raw AS (
-  SELECT conv_id, question, answer, length(question) AS width, length(answer) AS height,
-         'Question: ' || coalesce(question, '') || ' Answer: <think>' || coalesce(answer, '')
-         || '</think><think>' || coalesce(extra, '') || '</think><answer>Answer: '
-         || coalesce(split_part(answer, ' ', 1), '') || '</answer>' AS response
+  SELECT conv_id, part, question, answer, length(question) AS width, length(answer) AS height,
+         'Question: ' || coalesce(question, '') || ' Answer: ' || thoughts || '<answer>Answer: '
+         || coalesce(answer, '') || '</answer>' AS response
   FROM parts),
 parsed AS (
-  SELECT conv_id, width, height, {problem} AS problem,
+  SELECT conv_id, part, width, height, {problem} AS problem,
          CASE WHEN contains(response, '<answer>')
               THEN {think} || chr(10) || chr(10) || '<answer>' || {final} || '</answer>'
               ELSE {think} END AS solution,
          {request} AS request_md5
   FROM raw)
-SELECT conv_id, problem, solution, request_md5 FROM parsed
+SELECT conv_id, part, problem, solution, request_md5 FROM parsed
 WHERE NOT regexp_matches(solution, '<[^>]+></[^>]+>') AND NOT contains(problem, 'Answer:')
   AND height >= 28 AND width >= 28"""
     return q
 
 
 def boxes_sql() -> dict[str, str]:
-    from ..functions.vision import tile_grids
-
-    grids = ", ".join(f"({i}, {j}, {k})" for k, (i, j) in enumerate(tile_grids()))
     quad = r"\[\d+,\s*\d+,\s*\d+,\s*\d+\]"
     fmt_a = rf"(?s)<think>.*?</think>\s*<answer>.*?\{{.*{quad}.*\}}.*?</answer>"
     fmt_b = rf"(?s)<think>.*?</think>\s*<answer>.*?{quad}.*?</answer>"
@@ -412,7 +413,8 @@ SELECT l_orderkey, l_linenumber, l_returnflag,
 FROM u""",
         "tile_plans": f"""
 WITH p AS (SELECT p_partkey, p_size * 40 AS width, (51 - p_size) * 3 AS height FROM part),
-g AS (SELECT * FROM (VALUES {grids}) g(i, j, ord)),
+g AS (SELECT i, n // i AS j, row_number() OVER (ORDER BY n, i) - 1 AS ord
+      FROM range(1, 13) a(n), range(1, 13) b(i) WHERE n % i = 0),
 c AS (SELECT p.*, g.i, g.j, g.ord,
              abs(CAST(width AS DOUBLE) / height - CAST(g.i AS DOUBLE) / g.j) AS d,
              CAST(width AS DOUBLE) * height > CAST(100352.0 AS DOUBLE) * g.i * g.j AS cond
@@ -878,11 +880,11 @@ FROM m GROUP BY 1, 2""",
 
 
 def names_sql() -> dict[str, str]:
-    pat = r"((\d+(\.\d+)?)(x(\d+(\.\d+)?))?)([bm])"
-    n1 = r"CAST(regexp_extract(m, '^(\d+(\.\d+)?)', 1) AS DOUBLE)"
-    n2 = r"regexp_extract(m, 'x(\d+(\.\d+)?)', 1)"
-    value = (f"(CASE WHEN {n2} <> '' THEN {n1} * CAST({n2} AS DOUBLE) ELSE {n1} END) * "
-             "CASE WHEN m LIKE '%b' THEN 1e9 ELSE 1e6 END")
+    number = "[0-9]+(?:[.][0-9]+)?"
+    size = f"{number}(?:x{number})?[bm]"
+    value = ("list_reduce(list_prepend(CASE WHEN m LIKE '%b' THEN CAST(1e9 AS DOUBLE) "
+             "ELSE CAST(1e6 AS DOUBLE) END, list_transform(string_split(m[1:-2], 'x'), "
+             "lambda n: CAST(n AS DOUBLE))), lambda acc, n: acc * n)")
     return {
         "model_names": f"""
 WITH p AS (SELECT p_partkey, p_type,
@@ -897,7 +899,7 @@ SELECT p_partkey, model_id,
                   WHEN 'visualthinker' THEN 'turningpoint-ai/VisualThinker-R1-Zero' END,
                 model_id) AS resolved_id,
        coalesce(CAST(trunc(list_max(list_transform(
-                    regexp_extract_all(lower(model_id), '{pat}', 0), lambda m: {value})))
+                    regexp_extract_all(lower(model_id), '{size}', 0), lambda m: {value})))
                 AS BIGINT), -1) AS param_count,
        replace(model_id, '/', '_') || '_' || lower(p_type) || '_20250813_103037' AS run_name
 FROM p""",

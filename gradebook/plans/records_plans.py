@@ -11,7 +11,7 @@ by concatenating turns into tagged responses (B17 B18 B19).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cot
@@ -93,29 +93,39 @@ def conversation_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cot_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    parts = conv.groupBy("conv_id").agg(
-        F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("question"),
-        F.min_by("text", F.when(F.col("role") == "assistant", F.col("turn"))).alias("answer"),
-        F.min_by("text", F.when(F.col("turn") == 3, F.col("turn"))).alias("extra"))
+    """One tagged response per user turn: the assistant turns up to the next user turn are its
+    thoughts, the last of them is also the answer. All turns are read; a conversation is bounded
+    by the model's context."""
+    conv = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    upto = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    parts = conv.withColumn("part", F.count_if(F.col("role") == "user").over(upto)).groupBy(
+        "conv_id", "part").agg(
+        F.min(F.when(F.col("role") == "user", F.col("text"))).alias("question"),
+        F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct(
+            "turn", "role", "text")))).alias("said"))
+    answer = F.when(F.size("said") > 0, F.element_at("said", -1)["text"])
+    thoughts = F.array_join(F.transform("said", lambda m: F.concat(
+        F.lit("<think>"), m["text"], F.lit("</think>"))), "")
+    raw = parts.select("conv_id", "part", "question", answer.alias("answer"),
+                       thoughts.alias("thoughts"))
     response = F.concat(
-        F.lit("Question: "), F.coalesce("question", F.lit("")), F.lit(" Answer: <think>"),
-        F.coalesce("answer", F.lit("")), F.lit("</think><think>"),
-        F.coalesce("extra", F.lit("")), F.lit("</think><answer>Answer: "),
-        F.coalesce(F.substring_index("answer", " ", 1), F.lit("")), F.lit("</answer>"))
-    return parts.select("conv_id", "question", "answer", response.alias("response"),
-                        F.length("question").alias("width"), F.length("answer").alias("height"))
+        F.lit("Question: "), F.coalesce("question", F.lit("")), F.lit(" Answer: "), "thoughts",
+        F.lit("<answer>Answer: "), F.coalesce("answer", F.lit("")), F.lit("</answer>"))
+    return raw.select("conv_id", "part", "question", "answer", response.alias("response"),
+                      F.length("question").alias("width"), F.length("answer").alias("height"))
 
 
 def cot_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Step 7 (B17 B18 B19): parsed problem/solution of tagged responses, kept by the
-    filters, with a fingerprint of the rewriting request prompt."""
+    """Step 7 (B17 B18 B19): parsed problem/solution of the tagged responses of all turns, kept
+    by the filters, with a fingerprint of the rewriting request prompt."""
     raw = _cot_raw(spark, sf_dir)
     parsed = raw.select(
-        "conv_id", "width", "height",
+        "conv_id", "part", "width", "height",
         cot.cot_problem("response").alias("problem"),
         cot.cot_solution("response").alias("solution"),
         F.md5(pr.cot_request_prompt(F.coalesce("question", F.lit("")),
                                     F.coalesce("answer", F.lit("")))).alias("request_md5"))
     kept = parsed.filter(cot.cot_keep("problem", "solution", "height", "width"))
-    return kept.select("conv_id", "problem", "solution", "request_md5")
+    return kept.select("conv_id", "part", "problem", "solution", "request_md5")
