@@ -374,12 +374,12 @@ def keep_first(docs: DataFrame) -> DataFrame:
     _, groups = _grouped(docs)
     first = groups.groupBy("label").agg(F.min(F.struct(
         F.col("least").isNull().alias("none"), "least", "sid")).alias("f"))
-    first = first.select(F.col("f.sid").alias("_set"), F.col("f.least").alias("_least"))
-    key, own = free_name(docs, "_key"), free_name(docs, "_own")
+    key, own, set_, least = (free_name(docs, n) for n in ("_key", "_own", "_set", "_least"))
+    first = first.select(F.col("f.sid").alias(set_), F.col("f.least").alias(least))
     ids = F.arrow_udf(_set_ids, "long")
     rows = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(own, ids("text"))
-    kept = rows.join(first, (F.col(own) == F.col("_set")) & F.col(key).eqNullSafe(
-        F.col("_least")), "left_semi")
+    kept = rows.join(first, (F.col(own) == F.col(set_)) & F.col(key).eqNullSafe(
+        F.col(least)), "left_semi")
     order = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t])
     once = kept.groupBy(key, own).agg(F.min_by(F.struct(*[
         F.col(f"`{c}`") for c in docs.columns]), order).alias("_row")).select("_row.*")

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import free_name, stored
 
 # Fixed values of the mix.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -109,21 +109,26 @@ def plan(sized: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """``docs`` with ``size, source_size, target, taken`` (words the mix takes of the row)."""
+    """``docs`` with ``size, source_size, target, taken`` (words the mix takes of the row);
+    other columns of any name stay."""
     kept = docs.drop(*[c for c in RESULTS if c in docs.columns])
     sized = stored(docs.select(
         F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"),
         random_key(F.col("doc_id"), seed).alias("key")), "mix-sizes")
+    own = free_name(docs, "_plan")  # all helper columns below one free name
     cuts = stored(plan(sized), "mix-plan")
+    cuts = cuts.select(F.struct(*cuts.columns).alias(own))
+    cut = lambda c: F.col(f"{own}.{c}")
     me = F.struct(random_key(F.col("doc_id"), seed).alias("key"), F.col("doc_id"),
                   F.col("size"))
-    extra = (F.when(me < F.col("cut"), F.col("size"))
-             .when(me == F.col("cut"), F.col("cut_words")).otherwise(F.lit(0)))
+    extra = (F.when(me < cut("cut"), F.col("size"))
+             .when(me == cut("cut"), cut("cut_words")).otherwise(F.lit(0)))
     out = kept.withColumn("size", word_count(F.col("text"))).join(
-        cuts, F.col("source").eqNullSafe(F.col("of")), "left")
+        cuts, F.col("source").eqNullSafe(cut("of")), "left")
     return out.select(
-        *[F.col(f"`{c}`") for c in kept.columns], "size", "source_size", "target",
-        (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"))
+        *[F.col(f"`{c}`") for c in kept.columns], "size", cut("source_size").alias("source_size"),
+        cut("target").alias("target"),
+        (cut("epochs") * F.col("size") + extra).cast("long").alias("taken"))
 
 
 def digest(docs: DataFrame, seed: str = SEED) -> DataFrame:
