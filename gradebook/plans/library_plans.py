@@ -21,6 +21,7 @@ from ..operators import grpo, probe
 from ..operators import records as rec
 from ..operators import sampling as sm
 from ..session import scratch_path, table
+from ..sources import documents as doc
 from ..sources import records as src
 from ..sources import results as res
 from .boxes_plans import box_answers, tile_plans
@@ -307,6 +308,51 @@ def union_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.size(F.col("prompt")[0]["content"]).alias("prompt_items"))
 
 
+#: The sections of the document plan.
+SECTIONS = {"images": "id long, file_name string", "categories": "id long, name string",
+            "annotations": "id long, image_id long, category_id long, bbox array<double>, "
+                           "note string", "licenses": "id long"}
+
+
+def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as annotations, orders as images and brands as categories of one JSON document
+    (with braces and quotes inside strings), read back by byte ranges; one section is absent."""
+    li, parts = _lines(spark, sf_dir), table(spark, sf_dir, "part")
+    note = F.concat(F.lit('],"{ '), "l_returnflag", F.lit(" \\"))
+    records = {
+        "images": table(spark, sf_dir, "orders").select(F.to_json(F.struct(
+            F.col("o_orderkey").alias("id"), F.concat("o_orderkey", F.lit(".jpg")).alias(
+                "file_name"))).alias("value")),
+        "categories": parts.select(F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col(
+            "p_brand").alias("name"))).alias("value")),
+        "annotations": li.select(F.to_json(F.struct(
+            "id", (F.col("l_orderkey") + 1).alias("image_id"),
+            (F.col("l_partkey") % 3 + 1).alias("category_id"),
+            F.array(F.col("l_linenumber") * 12.0, F.col("l_quantity") * 2.0).alias("bbox"),
+            note.alias("note"))).alias("value"))}
+    line = lambda text, k: spark.range(1).select(F.lit(text).alias("value"), F.lit(k).alias("k"),
+                                                 F.lit(0).alias("j"))
+    rows = line('{"info": {"deep": [{"id": 0}]}', 0)
+    for k, (name, of) in enumerate(records.items()):
+        rows = rows.unionByName(line(f', "{name}": [', 2 * k + 1)).unionByName(of.select(
+            F.concat("value", F.lit(",")).alias("value"), F.lit(2 * k + 2).alias("k"),
+            F.lit(0).alias("j"))).unionByName(spark.range(1).select(
+                F.lit("null]").alias("value"), F.lit(2 * k + 2).alias("k"), F.lit(1).alias("j")))
+    path = scratch_path(spark, "one-document")  # a document is one file, so one task writes it
+    rows.unionByName(line("}", 99)).repartition(1).sortWithinPartitions("k", "j").select(
+        "value").write.text(path)
+    found = doc.read_sections(spark, path, SECTIONS)
+    cols = {"images": ("file_name", "id"), "categories": ("name", "id"),
+            "annotations": ("note", "image_id"), "licenses": (None, "id")}
+    out = None
+    for name, (text, number) in cols.items():
+        part = found[name].select(
+            F.lit(name).alias("section"), "id", F.col(text).alias("text") if text else
+            F.lit(None).cast("string").alias("text"), F.col(number).alias("of"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _words_per_letter(pdf: pd.DataFrame) -> pd.Series:
     """A user's stage that fails on some texts: those without words, and those marked."""
     if pdf["text"].isna().any():
@@ -346,4 +392,4 @@ PLANS = {f.__name__: f for f in (
     padded_sequences, clipped_rows,
     model_families, chat_messages, crop_boxes, rows_by_id, forgetting_by_dataset,
     distinct_sources, registered_records, labelled_items, rollout_log, evaluation_samples,
-    plugged_reward, union_examples, error_rows)}
+    plugged_reward, union_examples, error_rows, document_sections)}

@@ -65,6 +65,13 @@ s AS (SELECT 'reward' AS stage, doc_id,
              length(text) AS value FROM d)
 SELECT stage, doc_id, CAST(CASE WHEN error IS NULL THEN value END AS BIGINT) AS value, error
 FROM (SELECT * FROM f UNION ALL SELECT * FROM r UNION ALL SELECT * FROM s)""",
+        "document_sections": f"""
+WITH {lines}
+SELECT 'images' AS section, o_orderkey AS id, o_orderkey || '.jpg' AS text, o_orderkey AS of
+FROM orders
+UNION ALL SELECT 'categories', p_partkey, p_brand, p_partkey FROM part
+UNION ALL SELECT 'annotations', id, '],"{{ ' || l_returnflag || ' ' || chr(92), l_orderkey + 1
+FROM li""",
         "gathered_patches": """
 SELECT vec_id, CAST(embedding[vec_id % 64 + 1] AS DOUBLE) AS item_0,
        CAST(embedding[4] AS DOUBLE) AS item_1, CAST(embedding[1] AS DOUBLE) AS item_2
