@@ -25,6 +25,8 @@ columns of the input with any other name pass through.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,30 +100,77 @@ CHECKS = {
 }
 
 
-def _spans(text: Column, kind: str) -> Column:
-    """Confirmed spans of one kind: start (0-based), end (exclusive), score, value."""
-    rank, pattern = KINDS.index(kind), PATTERNS[kind]
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
-    empty = F.lit([]).cast("array<struct<start:int,end:int,hit:string>>")
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once a row, also where lambdas refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _cut(items: Column, width: Column) -> Column:
+    """The array in runs of ``width`` elements."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / width).cast("int")),
+                       lambda i: F.slice(items, i * width + 1, width))
+
+
+def _tail(piece: Column) -> Column:
+    return F.substring(piece, -CONTEXT, CONTEXT)
+
+
+def _placed(pairs: Column) -> Column:
+    """Start, end, hit and the ``CONTEXT`` code points before it, of every hit of (gap, hit)
+    pairs in text order.
+
+    Appending to an array copies it, so one fold over n pairs would cost n squared. The pairs
+    are cut into runs of about n^(1/3): a fold over the runs finds what each starts with, then
+    each run is folded alone.
+    """
+    empty = F.lit([]).cast("array<struct<start:int,end:int,hit:string,before:string>>")
+    width = F.greatest(F.lit(32), F.ceil(F.cbrt(F.size(pairs))).cast("int"))
+
+    def said(pair: Column) -> Column:
+        return F.concat(pair["gap"], F.coalesce(pair["hit"], F.lit("")))
+
+    def enter(acc: Column, run: Column) -> Column:
+        size = F.aggregate(run, F.lit(0), lambda n, pair: n + F.length(said(pair)))
+        end = F.aggregate(run, F.lit(""), lambda t, pair: _tail(F.concat(t, _tail(said(pair)))))
+        return F.struct((acc["at"] + size).alias("at"),
+                        _tail(F.concat(acc["tail"], end)).alias("tail"),
+                        F.concat(acc["out"], F.array(F.struct(
+                            acc["at"].alias("at"), acc["tail"].alias("tail"), run.alias("run"))))
+                        .alias("out"))
 
     def place(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["gap"])
+        before = _tail(F.concat(acc["tail"], _tail(pair["gap"])))
         end = start + F.length(F.coalesce(pair["hit"], F.lit("")))
-        new = F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("hit"))
-        return F.struct(end.alias("at"), F.when(
+        new = F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("hit"),
+                       before.alias("before"))
+        return F.struct(end.alias("at"), _tail(F.concat(before, _tail(F.coalesce(
+            pair["hit"], F.lit(""))))).alias("tail"), F.when(
             pair["hit"].isNotNull(), F.concat(acc["out"], F.array(new))).otherwise(
             acc["out"]).alias("out"))
 
-    placed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")),
-                         place, lambda acc: acc["out"])
-    checked = F.filter(placed, lambda s: CHECKS[kind](s["hit"]))
+    def runs_of(w: Column) -> Column:
+        first = F.lit([]).cast(
+            "array<struct<at:int,tail:string,run:array<struct<gap:string,hit:string>>>>")
+        runs = F.aggregate(_cut(pairs, w), F.struct(
+            F.lit(0).alias("at"), F.lit("").alias("tail"), first.alias("out")),
+            enter, lambda acc: acc["out"])
+        return F.flatten(F.transform(runs, lambda r: F.aggregate(
+            r["run"], F.struct(r["at"].alias("at"), r["tail"].alias("tail"),
+                               empty.alias("out")), place, lambda acc: acc["out"])))
+    return _let(width, runs_of)
+
+
+def _spans(text: Column, kind: str) -> Column:
+    """Confirmed spans of one kind: start (0-based), end (exclusive), score, value."""
+    rank, pattern = KINDS.index(kind), PATTERNS[kind]
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
+    checked = F.filter(_let(pairs, _placed), lambda s: CHECKS[kind](s["hit"]))
 
     def scored(s: Column) -> Column:
-        before = F.lower(F.substring(text, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)),
-                                     F.least(s["start"], F.lit(CONTEXT))))
         score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(
-            before.rlike(CONTEXT_WORDS[kind]), CONTEXT_GAIN).otherwise(0.0))
+            F.lower(s["before"]).rlike(CONTEXT_WORDS[kind]), CONTEXT_GAIN).otherwise(0.0))
         return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"),
                         s["end"].alias("end"), F.lit(kind).alias("kind"),
                         score.alias("score"), s["hit"].alias("value"))
@@ -144,17 +193,40 @@ def with_entities(df: DataFrame, text: str = "text", out: str = "entities") -> D
 
 def mask(text: Column, spans: Column) -> Column:
     """The text with each entity replaced by ``[KIND]``; an entity that overlaps the one
-    before it is covered by that one's tag."""
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]),
-                         F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(
-            fresh, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
-    start = F.struct(F.lit(0).alias("at"), F.lit([]).cast("array<string>").alias("out"))
-    masked = F.aggregate(spans, start, step, lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, masked).otherwise(text)
+    before it is covered by that one's tag.
+
+    ``substring`` walks a text from its start, so the spans are cut into runs of about
+    sqrt(n): each run takes its stretch of the text once and works inside it.
+    """
+    def pieces(local: Column, run: Column, first: Column) -> Column:
+        """The masked stretch ``local``, which begins at position ``first``."""
+        def step(acc: Column, s: Column) -> Column:
+            piece = F.concat(F.substring(local, acc["at"] - first + 1, s["start"] - acc["at"]),
+                             F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(
+                s["start"] >= acc["at"], F.concat(acc["out"], F.array(piece))).otherwise(
+                acc["out"]).alias("out"))
+        start = F.struct(first.alias("at"), F.lit([]).cast("array<string>").alias("out"))
+        return F.aggregate(run, start, step, lambda acc: F.array_join(acc["out"], ""))
+
+    def enter(acc: Column, run: Column) -> Column:
+        return F.struct(
+            F.greatest(acc["at"], F.array_max(run["end"])).alias("at"),
+            F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), run.alias("run"))))
+            .alias("out"))
+
+    def joined(s: Column) -> Column:
+        width = F.greatest(F.lit(32), F.ceil(F.sqrt(F.size(s))).cast("int"))
+        first = F.struct(F.lit(0).alias("at"), F.lit([]).cast(
+            f"array<struct<at:int,run:{SPAN_TYPE}>>").alias("out"))
+        runs = _let(width, lambda w: F.aggregate(
+            _cut(s, w), first, enter, lambda acc: acc["out"]))
+        masked = F.transform(runs, lambda r: _let(
+            F.substring(text, r["at"] + 1, F.array_max(r["run"]["end"]) - r["at"]),
+            lambda local: pieces(local, r["run"], r["at"])))
+        return F.concat(F.array_join(masked, ""), F.substring(
+            text, F.array_max(s["end"]) + 1, F.length(text)))
+    return F.when(F.size(spans) > 0, _let(spans, joined)).otherwise(text)
 
 
 def digest(df: DataFrame) -> DataFrame:
