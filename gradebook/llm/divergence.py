@@ -52,19 +52,26 @@ _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128
 def tallies(docs: DataFrame) -> DataFrame:
     """``lang, source, term, tf, df`` summed per task in bounded parts; a NULL term marks the
     group itself."""
+    def strings(words: list[bytes | None]) -> pa.Array:
+        try:
+            return pa.array(words, pa.binary()).cast(pa.string())
+        except pa.ArrowInvalid:  # a text that is no valid UTF-8
+            return pa.array([w if w is None else w.decode("utf-8", "replace") for w in words])
+
     def packed(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> pa.RecordBatch:
-        lang, source, term, tf, df = [], [], [], [], []
+        columns: list[list[pa.Array]] = [[], [], [], [], []]
         for (of_lang, of_source), (words, holders) in held.items():
             n = len(words) + 1
-            lang += [of_lang] * n
-            source += [of_source] * n
-            term += [None, *(w.decode("utf-8", "replace") for w in words)]
-            tf += [0, *words.values()]
-            df += [0, *(holders[w] for w in words)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(lang, pa.string()), pa.array(source, pa.string()),
-             pa.array(term, pa.string()), pa.array(tf, pa.int64()), pa.array(df, pa.int64())],
-            names=["lang", "source", "term", "tf", "df"])
+            tf, df = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            tf[1:] = np.fromiter(words.values(), np.int64, n - 1)
+            df[1:] = np.fromiter(map(holders.__getitem__, words), np.int64, n - 1)
+            for column, part in zip(columns, (
+                    pa.repeat(pa.scalar(of_lang, pa.string()), n),
+                    pa.repeat(pa.scalar(of_source, pa.string()), n),
+                    strings([None, *words]), pa.array(tf), pa.array(df))):
+                column.append(part)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns],
+                                          names=["lang", "source", "term", "tf", "df"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
@@ -75,10 +82,9 @@ def tallies(docs: DataFrame) -> DataFrame:
                                           batch.column(1).to_pylist(), texts):
                 words, holders = held.setdefault((lang, source), (Counter(), Counter()))
                 before = len(words)
-                own = Counter(text.as_buffer().to_pybytes().translate(_TERM_BYTES).split())
-                for word, n in own.items():
-                    words[word] += n
-                    holders[word] += 1
+                own = text.as_buffer().to_pybytes().translate(_TERM_BYTES).split()
+                words.update(own)
+                holders.update(set(own))
                 size += len(words) - before
                 if size >= HELD_TERMS:
                     yield packed(held)
