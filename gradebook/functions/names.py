@@ -83,6 +83,15 @@ def run_name(run: Column | str | None, model_id: Column | str, dataset: Column |
     return F.concat(base, F.lit("_"), F.date_format(_c(ts), "yyyyMMdd_HHmmss"))
 
 
+def dataset_label(name: Column | str, root: Column | str, kind: Column | str) -> Column:
+    """What a run's files call its data set: its name, else the last part of its root
+    folder in lower case, else its kind in lower case. NULL and empty count as absent (a root
+    with a slash at its end has no last part)."""
+    base = F.substring_index(_c(root), "/", -1)
+    given = [F.nullif(_c(name), F.lit("")), F.lower(F.nullif(base, F.lit("")))]
+    return F.coalesce(*given, F.lower(_c(kind)))
+
+
 def parse_step(path: Column | str) -> Column:
     """B14 (strict form): digits of the ``<n>_steps`` directory holding the file."""
     s = F.regexp_extract(_c(path), r"/(\d+)_steps/[^/]*$", 1)

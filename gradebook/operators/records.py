@@ -11,6 +11,23 @@ from pyspark.sql import functions as F
 from ..functions.prompts import IMAGE_TAG
 
 
+def variant_content(content: Column, image_newline: bool = True) -> Column:
+    """The text of a turn whose content is a VARIANT: a string as it is, or a list of
+    ``{type, text}`` items, in which an image becomes its placeholder and texts are put end to
+    end. Any other content, or an item of another type, raises; an item without text counts as
+    empty. A NULL content stays NULL."""
+    item = "array<struct<type:string,text:string>>"
+    kind = F.schema_of_variant(content)
+    items = F.try_variant_get(content, "$", item)
+    tag = F.lit(IMAGE_TAG + ("\n" if image_newline else ""))
+    bad = F.raise_error(F.concat(F.lit("Unsupported content type: "), kind)).cast("string")
+    parts = F.transform(items, lambda x: F.when(x["type"] == "image", tag).when(
+        x["type"] == "text", F.coalesce(x["text"], F.lit(""))).otherwise(bad))
+    return F.when(content.isNull(), F.lit(None).cast("string")).when(
+        kind == "STRING", F.try_variant_get(content, "$", "string")).when(
+        items.isNull(), bad).otherwise(F.array_join(parts, ""))
+
+
 def flatten_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
                           role: str = "role", text: str = "text",
                           roles: Sequence[str] = ("user", "assistant"),
@@ -20,21 +37,28 @@ def flatten_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "
     A leading ``system`` turn becomes ``system_message`` and is dropped; the remaining
     turns are assigned roles by **position parity** (not by their role field); an odd
     count gets an empty assistant slot. ``<image>`` placeholders get a newline when
-    ``image_newline``. Per-turn pieces are computed row-wise; only the final string is
+    ``image_newline``. A VARIANT ``text`` may be a string or a list of typed items
+    (:func:`variant_content`). Per-turn pieces are computed row-wise; only the final string is
     assembled per conversation (a conversation is bounded by the model's context).
     """
     first = turns.groupBy(conv).agg(F.min_by(F.struct(F.col(turn).alias("t"),
                                                       F.col(role).alias("r"),
                                                       F.col(text).alias("x")),
                                              F.col(turn)).alias("_first"))
+    system = F.col("_first.x")
+    if dict(turns.dtypes)[text] == "variant":  # a list: the text of its first item
+        system = F.coalesce(F.try_variant_get(system, "$[0].text", "string"),
+                            F.try_variant_get(system, "$", "string"))
     sys_info = first.select(
         conv,
         F.when(F.col("_first.r") == "system", F.col("_first.t")).alias("_sys_turn"),
-        F.when(F.col("_first.r") == "system", F.col("_first.x")).alias("system_message"))
+        F.when(F.col("_first.r") == "system", system).alias("system_message"))
     body = turns.join(sys_info, on=conv, how="inner").filter(
         F.col("_sys_turn").isNull() | (F.col(turn) != F.col("_sys_turn")))
     content = F.col(text)
-    if image_newline:
+    if dict(turns.dtypes)[text] == "variant":
+        content = variant_content(content, image_newline)
+    elif image_newline:
         content = F.replace(content, F.lit(IMAGE_TAG), F.lit(IMAGE_TAG + "\n"))
     piece = F.struct(F.col(turn).alias("t"), content.alias("x"))
     agg = body.groupBy(conv).agg(
@@ -51,57 +75,109 @@ def flatten_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "
                       F.coalesce(rendered, F.lit("")).alias("prompt"))
 
 
+def _turn(tags: Mapping[str, str]):
+    """Function of a turn struct: the turn as ``role, content`` with canonical role values."""
+    rt, ct = tags.get("role_tag", "from"), tags.get("content_tag", "value")
+    roles = {tags.get(f"{r}_tag", own): r for r, own in (
+        ("user", "human"), ("assistant", "gpt"), ("observation", "observation"),
+        ("function", "function_call"), ("system", "system"))}
+    names = F.create_map(*[F.lit(x) for kv in roles.items() for x in kv])
+    return lambda m: F.when(m.isNotNull(), F.struct(
+        F.coalesce(F.element_at(names, m[rt]), m[rt]).alias("role"), m[ct].alias("content")))
+
+
 def map_columns(df: DataFrame, columns: Mapping[str, str],
                 tags: Mapping[str, str] | None = None,
                 messages_key: str = "messages") -> DataFrame:
     """Rename source columns to canonical names (``columns`` maps canonical → source,
     as in a registry entry) and, with ``tags``, rename the message struct fields and the
-    role values to ``role``/``content`` and ``user``/``assistant``/``system``."""
-    sel = [F.col(src).alias(dst) for dst, src in columns.items() if src in df.columns]
-    out = df.select(*sel)
-    if tags and messages_key in out.columns:
-        rt, ct = tags.get("role_tag", "role"), tags.get("content_tag", "content")
-        role_map = {tags.get("user_tag", "user"): "user",
-                    tags.get("assistant_tag", "assistant"): "assistant"}
-        if "system_tag" in tags:
-            role_map[tags["system_tag"]] = "system"
-        lookup = F.create_map(*[F.lit(x) for kv in role_map.items() for x in kv])
-        out = out.withColumn(messages_key, F.transform(
-            F.col(messages_key), lambda m: F.struct(
-                F.coalesce(F.element_at(lookup, m[rt]), m[rt]).alias("role"),
-                m[ct].alias("content"))))
+    role values to ``role``/``content`` and ``user``/``assistant``/``system``. Chosen and
+    rejected answers that are turns are renamed alike; a NULL turn stays NULL. Listed columns that the data lack are
+    left out."""
+    out = df.select(*[F.col(f"`{src}`").alias(dst) for dst, src in columns.items()
+                      if src in df.columns])
+    if tags is None:
+        return out
+    turn = _turn(tags)
+    for name, kind in out.dtypes:
+        if name == messages_key and kind.startswith("array<struct<"):
+            out = out.withColumn(name, F.transform(F.col(name), turn))
+        elif name in ("chosen", "rejected") and kind.startswith("struct<"):
+            out = out.withColumn(name, turn(F.col(name)))
     return out
 
 
 def preference_pairs(df: DataFrame, chosen: str = "chosen",
                      rejected: str = "rejected") -> DataFrame:
-    """B21 ``ranking``: chosen/rejected answers as one struct column."""
-    return df.withColumn("pair", F.struct(F.col(chosen).alias("chosen"),
-                                          F.col(rejected).alias("rejected")))
+    """B21 ``ranking``: chosen and rejected answers as one struct column ``pair``. A row that
+    lacks one of them is no comparison and goes."""
+    both = F.col(chosen).isNotNull() & F.col(rejected).isNotNull()
+    return df.where(both).withColumn("pair", F.struct(
+        F.col(chosen).alias("chosen"), F.col(rejected).alias("rejected"))).drop(chosen, rejected)
+
+
+def desirability(df: DataFrame, tag: str = "kto_tag") -> DataFrame:
+    """B21 ``kto_tag``: the tag as a boolean column ``desirable`` (true: a wanted answer). Tags
+    may be booleans, numbers or their texts; a row without a readable tag goes."""
+    flag = F.col(tag).cast("string").try_cast("boolean")
+    return df.withColumn("desirable", flag).where("desirable is not null").drop(tag)
+
+
+#: Columns of an entry that lists none, by ``formatting``.
+DEFAULT_COLUMNS = {
+    "alpaca": {"prompt": "instruction", "query": "input", "response": "output",
+               "system": "system", "history": "history"},
+    "sharegpt": {"messages": "conversations", "system": "system", "tools": "tools"},
+}
+
+
+def _read_files(spark: SparkSession, path: str) -> DataFrame:
+    """The table at ``path``, by the ending of its name."""
+    if path.endswith(".parquet"):
+        return spark.read.parquet(path)
+    if path.endswith(".csv"):
+        return spark.read.option("header", True).csv(path)
+    if path.endswith(".txt"):
+        return spark.read.text(path).withColumnRenamed("value", "text")
+    return spark.read.option("multiLine", path.endswith(".json")).json(path)
 
 
 def read_registered(spark: SparkSession, registry: Mapping[str, Mapping], name: str,
                     base_dir: str) -> DataFrame:
-    """Read a registry entry's local file and map its columns.
-
-    Supported: local ``file_name`` in JSON/JSONL/parquet/CSV; hub and script sources
-    are not built (no network).
+    """Read a registry entry's local data and map its columns.
+
+    ``file_name`` names a file or folder of JSON, JSONL, parquet, CSV or text; ``folder`` names
+    a folder of parquet tables below ``base_dir``. ``subset`` and ``split`` are values of the
+    columns of these names, best stored as partitions, which are pruned before anything is
+    read; a table with splits gives ``train`` where the entry names none. ``ranking`` gives pairs
+    (:func:`preference_pairs`), a ``kto_tag`` column a flag (:func:`desirability`). Hub and
+    script sources are not built (no network); they raise, as does a listed subset or split
+    that a table without such a column cannot give.
     """
     entry = registry[name]
-    if "file_name" not in entry:
-        raise ValueError(f"{name}: only local files are supported")
-    path = f"{base_dir.rstrip('/')}/{entry['file_name']}"
-    if path.endswith(".parquet"):
-        df = spark.read.parquet(path)
-    elif path.endswith(".csv"):
-        df = spark.read.option("header", True).csv(path)
+    if "file_name" in entry:
+        df = _read_files(spark, f"{base_dir.rstrip('/')}/{entry['file_name']}")
+    elif "folder" in entry:
+        df = spark.read.parquet(f"{base_dir.rstrip('/')}/{entry['folder']}")
     else:
-        df = spark.read.option("multiLine", path.endswith(".json")).json(path)
-    columns = dict(entry.get("columns", {}))
-    if not columns:
-        columns = ({"messages": "conversations"} if entry.get("formatting") == "sharegpt"
-                   else {"prompt": "instruction", "query": "input", "response": "output"})
-    return map_columns(df, columns, entry.get("tags"))
+        raise ValueError(f"{name}: only local files are supported")
+    for key, default in (("subset", None), ("split", "train")):
+        if key in df.columns:
+            wanted = entry.get(key, default)
+            if wanted is not None:
+                df = df.where(F.col(key) == wanted)
+        elif key in entry:
+            raise ValueError(f"{name}: the data have no column {key}")
+    form = entry.get("formatting", "alpaca")
+    if form not in DEFAULT_COLUMNS:
+        raise ValueError(f"{name}: unknown formatting {form}")
+    columns = dict(entry.get("columns") or DEFAULT_COLUMNS[form])
+    if entry.get("ranking"):
+        columns = {"chosen": "chosen", "rejected": "rejected"} | columns
+    out = map_columns(df, columns, entry.get("tags", {}) if form == "sharegpt" else None)
+    if entry.get("ranking"):
+        out = preference_pairs(out)
+    return desirability(out) if "kto_tag" in out.columns else out
 
 
 def run_grid(datasets: DataFrame, models: DataFrame, first: int, last: int,

@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,7 @@ from ..sources import records as src
 from ..sources import results as res
 from .boxes_plans import box_answers, tile_plans
 from .detection_plans import _lines, detections
+from .rollup_plans import checkpoint_curve
 
 ROUND = 9
 BATCH = 16
@@ -243,6 +246,125 @@ def registered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("messages")[1]["content"].alias("assistant_text"))
 
 
+REGISTRY = {
+    "pairs": {"folder": "pairs", "split": "train", "ranking": True, "formatting": "sharegpt",
+              "columns": {"messages": "conversations", "chosen": "chosen",
+                          "rejected": "rejected"},
+              "tags": {"role_tag": "from", "content_tag": "value", "user_tag": "human",
+                       "assistant_tag": "gpt"}},
+    "marked": {"folder": "pairs", "subset": "long", "split": "test",
+               "columns": {"prompt": "question", "response": "answer", "kto_tag": "label"}},
+    "plain": {"folder": "pairs", "columns": {"prompt": "question", "response": "answer"}},
+}
+
+
+def registry_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as one registered table, split and subset stored as partitions,
+    read as comparisons (``ranking``), as marked answers (``kto_tag``) and plainly."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").where(
+        "doc_id is not null")
+    said = lambda who, text: F.struct(F.lit(who).alias("from"), text.alias("value"))
+    question = F.concat(F.lit("q"), F.col("doc_id"))
+    path = scratch_path(spark, "registry")
+    docs.select(
+        question.alias("question"), F.col("text").alias("answer"),
+        F.array(said("human", question), said("system", F.col("source"))).alias("conversations"),
+        said("gpt", F.col("text")).alias("chosen"),
+        F.when(F.col("lang") != "en", said("gpt", F.col("lang"))).alias("rejected"),
+        F.when(F.col("doc_id") % 5 > 0, F.when(F.col("doc_id") % 2 == 0, "true").otherwise(
+            "false")).alias("label"),
+        F.when(F.col("doc_id") % 3 == 0, "test").otherwise("train").alias("split"),
+        F.when(F.length("text") > 500, "long").otherwise("short").alias("subset"),
+    ).write.partitionBy("subset", "split").parquet(f"{path}/pairs")
+    pairs = rec.read_registered(spark, REGISTRY, "pairs", path).select(
+        F.lit("pairs").alias("entry"), F.col("messages")[0]["content"].alias("prompt"),
+        F.concat_ws(",", F.array_join("messages.role", ","), "pair.chosen.role").alias("roles"),
+        F.md5("pair.chosen.content").alias("answer_md5"),
+        F.col("pair.rejected.content").alias("mark"))
+    marked = rec.read_registered(spark, REGISTRY, "marked", path).select(
+        F.lit("marked").alias("entry"), "prompt", F.lit("").alias("roles"),
+        F.md5("response").alias("answer_md5"), F.col("desirable").cast("string").alias("mark"))
+    plain = rec.read_registered(spark, REGISTRY, "plain", path).select(
+        F.lit("plain").alias("entry"), "prompt", F.lit("").alias("roles"),
+        F.md5("response").alias("answer_md5"), F.lit("").alias("mark"))
+    return pairs.unionByName(marked).unionByName(plain)
+
+
+def content_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of conversations whose turns are strings (odd turns) or lists of an image
+    and a text item (even turns)."""
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    items = F.to_json(F.array(
+        F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text")),
+        F.struct(F.lit("text").alias("type"), F.col("text"))))
+    plain = F.to_json(F.array("text"))  # a JSON string between brackets
+    content = F.when(F.col("role") == "system", F.to_json(F.array(F.struct(
+        F.lit("text").alias("type"), F.col("text"))))).when(
+        F.col("turn") % 2 == 0, items).otherwise(F.substring(plain, F.lit(2), F.length(plain) - 2))
+    turns = conv.select("conv_id", "turn", "role", F.when(
+        F.col("text").isNotNull(), F.parse_json(content)).alias("text"))
+    return rec.flatten_conversations(turns).select(
+        "conv_id", "n_messages", F.md5("system_message").alias("system_md5"),
+        F.md5("prompt").alias("prompt_md5"))
+
+
+def rollup_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both roll-up tables of the checkpoint curve, written and read back."""
+    curve = checkpoint_curve(spark, sf_dir)
+    path = scratch_path(spark, "rollup")
+    res.write_curve(curve, path)
+    res.write_best(curve, path)
+    return reduce(DataFrame.unionByName, [
+        res.read_rollup(spark, path, which).select(F.lit(which).alias("file"), "*")
+        for which in res.ROLLUP_FILES])
+
+
+def run_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run per data set label with its scalar summary; the language is the truth,
+    English is predicted for texts that hold "the", else German. The label is the source, the
+    last part of a folder named after it, or the kind of the data set."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    named = docs.withColumn("dataset", names.dataset_label(
+        F.when(F.col("doc_id") % 3 == 0, F.col("source")),
+        F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("/data/Sets/"), F.upper("source"),
+                                                  F.when(F.col("doc_id") % 2 == 0, "/")
+                                                  .otherwise("")))
+        .otherwise(F.lit(None)), F.lit("ImageFolder")))
+    found = named.withColumn(
+        "prediction", F.when(F.col("text").contains("the"), "en").otherwise("de"))
+    return res.evaluation_summary(found, ["dataset"], gt="lang")
+
+
+def task_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every task's question template of both model families, filled with every question."""
+    users = table(spark, sf_dir, "conversations").where("role = 'user' and text is not null")
+    tasks = [*pr.TEMPLATES_A, "other"]
+    filled = [F.struct(F.lit(family).alias("family"), F.lit(task).alias("task"), F.md5(
+        pr.fill_template(pr.question_template(task, family), "text")).alias("prompt_md5"))
+        for family in "AB" for task in tasks]
+    return users.select("conv_id", "turn", F.inline(F.array(*filled)))
+
+
+def missing_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers' image paths that no file stands for; an image file is written for
+    every country but the first, and the rows are those that lack theirs."""
+    root = scratch_path(spark, "images")
+    nations = table(spark, sf_dir, "nation").select("n_nationkey")
+    nations.where("n_nationkey > 0").select(
+        F.concat(F.lit("image "), "n_nationkey").alias("value"), "n_nationkey").write.partitionBy(
+        "n_nationkey").text(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(
+        F.regexp_extract("path", r"n_nationkey=(\d+)/", 1).cast("int").alias("n_nationkey"),
+        F.col("path").alias("own"))
+    people = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.col("c_nationkey").cast("int").alias("n_nationkey"))
+    wanted = people.join(files, "n_nationkey", "left").select("c_custkey", F.array(F.coalesce(
+        "own", F.concat(F.lit(f"{root}/absent-"), F.col("c_custkey"), F.lit(".png"))))
+        .alias("image_path"))
+    return rec.missing_paths(wanted, "image_path", root).select("c_custkey", F.regexp_extract(
+        F.col("image_path")[0], r"([^/]+)$", 1).alias("file"))
+
+
 def labelled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings saved as a labelled set and read back with its class names."""
     root = scratch_path(spark, "labelled")
@@ -392,4 +514,5 @@ PLANS = {f.__name__: f for f in (
     padded_sequences, clipped_rows,
     model_families, chat_messages, crop_boxes, rows_by_id, forgetting_by_dataset,
     distinct_sources, registered_records, labelled_items, rollout_log, evaluation_samples,
-    plugged_reward, union_examples, error_rows, document_sections)}
+    plugged_reward, union_examples, error_rows, document_sections, registry_entries,
+    content_prompts, rollup_files, run_summaries, task_prompts, missing_images)}

@@ -175,6 +175,47 @@ SELECT conv_id, turn, md5(text) AS completion_md5,
 FROM conversations""",
         "evaluation_samples": """
 SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 100""",
+        "registry_entries": """
+WITH d AS (SELECT 'q' || CAST(doc_id AS VARCHAR) AS prompt, text, lang, source, doc_id,
+                  CASE WHEN doc_id % 3 = 0 THEN 'test' ELSE 'train' END AS split,
+                  CASE WHEN length(text) > 500 THEN 'long' ELSE 'short' END AS subset
+           FROM documents WHERE doc_id IS NOT NULL)
+SELECT 'pairs' AS entry, prompt, 'user,system,assistant' AS roles, md5(text) AS answer_md5,
+       lang AS mark FROM d WHERE split = 'train' AND lang <> 'en'
+UNION ALL
+SELECT 'marked', prompt, '', md5(text), CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END
+FROM d WHERE split = 'test' AND subset = 'long' AND doc_id % 5 > 0
+UNION ALL
+SELECT 'plain', prompt, '', md5(text), '' FROM d WHERE split = 'train'""",
+        "content_prompts": """
+WITH f AS (SELECT conv_id, arg_min(role, turn) AS r0, arg_min(text, turn) AS x0, min(turn) AS t0
+           FROM conversations GROUP BY conv_id),
+b AS (SELECT c.conv_id, c.turn, CASE WHEN c.role <> 'system' AND c.turn % 2 = 0
+                                     THEN '<image>' || chr(10) ELSE '' END || c.text AS x
+      FROM conversations c JOIN f USING (conv_id)
+      WHERE f.r0 IS DISTINCT FROM 'system' OR c.turn <> f.t0),
+i AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM b),
+g AS (SELECT conv_id, count(*) AS n, string_agg(
+        CASE WHEN k % 2 = 0 THEN 'user' ELSE 'assistant' END || ': ' || x, chr(10)
+        ORDER BY turn) AS body FROM i GROUP BY conv_id)
+SELECT f.conv_id, CAST(coalesce(n, 0) AS INTEGER) AS n_messages,
+       md5(CASE WHEN r0 = 'system' THEN x0 END) AS system_md5,
+       md5(coalesce(CASE WHEN n % 2 = 1 THEN body || chr(10) || 'assistant: ' ELSE body END, ''))
+         AS prompt_md5
+FROM f LEFT JOIN g USING (conv_id)""",
+        "run_summaries": """
+WITH d AS (SELECT CASE WHEN doc_id % 3 = 0 AND source <> '' THEN source
+                       WHEN doc_id % 3 = 1 AND doc_id % 2 <> 0 AND source <> '' THEN lower(source)
+                       ELSE 'imagefolder' END AS dataset, lang,
+                  CASE WHEN contains(text, 'the') THEN 'en' ELSE 'de' END AS prediction
+           FROM documents)
+SELECT dataset, count(*) AS total_examples,
+       count(*) FILTER (WHERE lang = prediction) AS total_correct,
+       100.0::DOUBLE * count(*) FILTER (WHERE lang = prediction) / count(*) AS final_accuracy
+FROM d GROUP BY dataset""",
+        "missing_images": """
+SELECT c_custkey, 'absent-' || CAST(c_custkey AS VARCHAR) || '.png' AS file FROM customer
+WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey > 0)""",
         "plugged_reward": """
 SELECT doc_id, CASE WHEN coalesce(contains(text, lang), false) THEN CAST(1.0 AS DOUBLE)
                     ELSE CAST(0.0 AS DOUBLE) END AS reward

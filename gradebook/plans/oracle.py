@@ -124,6 +124,14 @@ SELECT c.exp, c.step, c.accuracy_percent, b.baseline_accuracy,
        round(c.accuracy_percent - b.baseline_accuracy, 2) AS accuracy_change
 FROM curve c JOIN base b USING (exp)""",
         "result_files_rollup": BEST,
+        "rollup_files": f"""
+WITH {CURVE}, best AS (
+  SELECT *, row_number() OVER (PARTITION BY exp ORDER BY accuracy_percent DESC, step) AS rn
+  FROM curve)
+SELECT 'curve' AS file, exp, step, accuracy_percent, total_samples, correct_predictions FROM curve
+UNION ALL
+SELECT 'best', exp, step, accuracy_percent, total_samples, correct_predictions FROM best
+WHERE rn = 1""",
         "result_tree_rollup": BEST,
         "step_dir_curves": f"WITH {CURVE} SELECT exp, step, accuracy_percent FROM curve",
         "missing_run_report": f"""
@@ -321,6 +329,13 @@ ex AS (
 SELECT *, replace({_lit(pr.question_template('rec'))}, '{{Question}}', problem) AS prompt_text,
        CAST(2 AS INTEGER) AS prompt_items
 FROM ex"""
+    templates = " UNION ALL ".join(
+        f"SELECT '{family}' AS family, '{task}' AS task, "
+        f"{_lit(pr.TEMPLATE_B if family == 'B' else pr.TEMPLATES_A.get(task, '{Question}'))} AS t"
+        for family in "AB" for task in ("rec", "ic", "odLength", "other"))
+    q["task_prompts"] = f"""
+SELECT conv_id, turn, family, task, md5(replace(t, '{{Question}}', text)) AS prompt_md5
+FROM conversations, ({templates}) WHERE role = 'user' AND text IS NOT NULL"""
     q["conversation_prompts"] = """
 WITH f AS (SELECT conv_id, arg_min(role, turn) AS r0, arg_min(text, turn) AS x0, min(turn) AS t0
            FROM conversations GROUP BY conv_id),

@@ -13,6 +13,7 @@ are read by the executors.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import parse_experiment, parse_step, parse_step_loose
+from ..operators.evaluation import best_per_experiment
 
 RESULT_SCHEMA = T.StructType([
     T.StructField("exp", T.StringType()),
@@ -163,6 +165,46 @@ def evaluation_sample(df: DataFrame, order_key: str, n: int = 100) -> DataFrame:
     return df.orderBy(order_key).limit(n)
 
 
+def evaluation_summary(samples: DataFrame, by: Sequence[str] = (), gt: str = "ground_truth",
+                       pred: str = "prediction") -> DataFrame:
+    """``total_examples, total_correct, final_accuracy`` (percent, unrounded; 0 without
+    rows) of a run's samples; one row, or one per group of ``by``. A NULL prediction or truth
+    is wrong."""
+    out = samples.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("total_examples"),
+        F.count_if(F.col(gt) == F.col(pred)).alias("total_correct"))
+    return out.withColumn("final_accuracy", F.when(
+        F.col("total_examples") > 0,
+        F.lit(100.0) * F.col("total_correct") / F.col("total_examples")).otherwise(F.lit(0.0)))
+
+
+#: The two roll-up tables of a result tree.
+ROLLUP_FILES = {"curve": "all_steps_accuracy", "best": "best_accuracy_per_exp"}
+
+
+def write_curve(results: DataFrame, base_dir: str) -> None:
+    """The results of a tree, ordered by exp and step, as CSV under
+    ``<base>/all_steps_accuracy``. The order is a range sort, so no task holds all rows."""
+    (results.orderBy("exp", "step").write.mode("overwrite").option("header", True)
+     .csv(f"{base_dir.rstrip('/')}/{ROLLUP_FILES['curve']}"))
+
+
+def write_best(results: DataFrame, base_dir: str) -> None:
+    """The best checkpoint of every experiment as CSV under
+    ``<base>/best_accuracy_per_exp``."""
+    best = best_per_experiment(results, extra=[c for c in results.columns if c == "csv_path"])
+    (best.orderBy("exp").write.mode("overwrite").option("header", True)
+     .csv(f"{base_dir.rstrip('/')}/{ROLLUP_FILES['best']}"))
+
+
+def read_rollup(spark: SparkSession, base_dir: str, which: str) -> DataFrame:
+    """A table of :func:`write_curve` (``curve``) or :func:`write_best` (``best``)."""
+    path = f"{base_dir.rstrip('/')}/{ROLLUP_FILES[which]}"
+    found = spark.read.option("header", True).csv(path)
+    return found.select(*[F.col(f.name).cast(f.dataType) for f in RESULT_SCHEMA
+                          if f.name in found.columns])
+
+
 def write_result_tree(df: DataFrame, base_dir: str, run_stamp: str = "00000000_000000") -> None:
     """A3 in the evaluator's layout: ``<base>/<exp>/<n>_steps/<n>_steps_<stamp>_accuracy.csv``.
 
