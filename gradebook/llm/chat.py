@@ -17,7 +17,8 @@ backslashes restores the text.
 Defined cases: NULL text and role count as empty; rows with equal turn are ordered by role
 and text (NULLs first), repeated rows stay; NULL conv_id is one conversation; an empty table
 gives no rows; extra columns are not read. A conversation is one string in the result, so
-its rows meet in one task; comparing successive prefixes costs the square of its turns.
+its rows meet in one task; every prefix is rendered whole, which costs its length times its
+turns.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ Turns = list[tuple[str, str]]
 Render = Callable[[Turns], str]
 
 # Escaped characters, the probes and the role under the loss mask.
-_ESCAPED = re.compile(r"([\\<\[|])")
+_ESCAPED = "\\<[|"
 _UNESCAPE = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(r"<\|((?:[^\\|]+|\\.)*)\|>\n((?:[^\\<]+|\\.)*)</s>\n", re.S)
 PROBES = ("a", "b")
@@ -49,7 +50,9 @@ BATCH = 256
 
 
 def escape(text: str) -> str:
-    return _ESCAPED.sub(r"\\\1", text)
+    for c in _ESCAPED:  # the backslash first
+        text = text.replace(c, "\\" + c)
+    return text
 
 
 def unescape(text: str) -> str:
@@ -97,41 +100,22 @@ def locate(render: Render, turns: Turns) -> tuple[str, list, list, int]:
     return before, spans, loss, rewrites
 
 
-class Pieces:
-    """A template of independent turns that keeps what it rendered of the last turns."""
-
-    def __init__(self, template: Render) -> None:
-        self.template, self.known = template, {}
-
-    def __call__(self, turns: Turns) -> str:
-        if len(self.known) > 20_000:
-            self.known.clear()
-        out = []
-        for turn in turns:
-            piece = self.known.get(turn)
-            if piece is None:
-                piece = self.known[turn] = self.template([turn])
-            out.append(piece)
-        return "".join(out)
-
-
 def _conversations(batches: Iterator[pa.RecordBatch]):
     rows = (row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(3))))
     for key, group in groupby(rows, key=lambda r: r[0]):
         yield key, [(role or "", text or "") for _, role, text in group]
 
 
-def format_conversations(df: DataFrame, render: Render | None = None) -> DataFrame:
+def format_conversations(df: DataFrame, render: Render = default_template) -> DataFrame:
     """One row per conversation: the formatted text, turn spans, loss spans, rewrites.
 
     ``df`` has conv_id, turn, role, text. Rows are dealt by conv_id and sorted, so each
     conversation is a run of rows that streams through its task.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        template = render or Pieces(default_template)
         done = []
         for conv_id, turns in _conversations(batches):
-            text, spans, loss, rewrites = locate(template, turns)
+            text, spans, loss, rewrites = locate(render, turns)
             done.append((conv_id, len(turns), text, rewrites, spans, loss))
             if len(done) >= BATCH:
                 yield _formatted(done)

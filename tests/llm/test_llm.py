@@ -85,6 +85,32 @@ def test_chat_finds_templates_that_rewrite_history():
     assert chat.locate(last_only, [("user", "a"), ("user", "b"), ("user", "c")])[3] == 2
 
 
+def test_chat_renders_every_prefix_of_any_template(spark):
+    """A template that rewrites history, and one whose turns depend on each other, give the
+    same spans through Spark as prefixes cut by hand; the default one rewrites nothing."""
+    turns = [(("user", "assistant")[i % 2], "x" * (i % 7) + ("" if i % 5 else "</s>[|\\"))
+             for i in range(120)]
+    df = spark.createDataFrame([(7, i, r, t) for i, (r, t) in enumerate(turns)],
+                               "conv_id long, turn long, role string, text string")
+
+    def last_only(rows):
+        return "".join(("*" if i == len(rows) - 1 else "-") + t for i, (_, t) in enumerate(rows))
+
+    def numbered(rows):
+        return "".join(f"<{i}:{r}>{t}\n" for i, (r, t) in enumerate(rows))
+
+    rewritten = chat.format_conversations(df, last_only).first()
+    assert rewritten.rewrites == len(turns) - 1 and rewritten.formatted == last_only(turns)
+    for template in (numbered, chat.default_template):
+        row = chat.format_conversations(df, template).first()
+        ends = [len(template(turns[:i])) for i in range(len(turns) + 1)]
+        assert row.rewrites == 0 and row.formatted == template(turns)
+        assert [(s.start, s.end) for s in row.turn_spans] == list(zip(ends, ends[1:]))
+        escaped = chat.escape if template is chat.default_template else str
+        assert [row.formatted[s.start:s.end] for s in row.loss_spans] == [
+            escaped(t) for r, t in turns if r == "assistant"]
+
+
 def test_language_id_held_out_accuracy_and_edges(spark, docs, none):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     got = langid.predict(table).join(table.select("doc_id", "lang"), "doc_id").where("held_out")
