@@ -264,11 +264,30 @@ def _members(pairs: DataFrame) -> DataFrame:
 
 
 def set_table(docs: DataFrame, sketch: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``sid, elements`` (sorted hashes) of the wanted sets, made from one document each."""
-    of = sketch.where("sid is not null").join(wanted, "sid", "left_semi").groupBy("sid").agg(
+    """``sid, elements`` (sorted hashes) of the wanted sets, made from one document each.
+
+    A set takes the text of its smallest id. Ids (or NULL) that several sets would take are
+    not joined by, as each of their texts would meet each of the sets: these texts are hashed
+    and one of each set is taken by the set's own id.
+    """
+    owners = sketch.where("sid is not null").join(wanted, "sid", "left_semi").groupBy("sid").agg(
         F.min("doc_id").alias("of"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        of, F.col("doc_id").eqNullSafe(F.col("of"))).select("sid", "text")
+    shared = stored(owners.groupBy("of").agg(F.count(F.lit(1)).alias("sets")).where(
+        "sets > 1").select("of"), "jaccard-shared")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    same = F.col("doc_id").eqNullSafe(F.col("of"))
+    if shared.isEmpty():
+        texts = rows.join(owners, same).select("sid", "text")
+    else:
+        ids = F.arrow_udf(_set_ids, "long")
+        held = shared.withColumnRenamed("of", "held")
+        several = F.col("of").eqNullSafe(F.col("held"))
+        chosen = rows.join(shared, same, "left_semi").select(
+            ids("text").alias("sid"), "text").where("sid is not null").groupBy("sid").agg(
+            F.min("text").alias("text"))
+        texts = rows.join(owners.join(held, several, "left_anti"), same).select(
+            "sid", "text").unionByName(chosen.join(
+                owners.join(held, several, "left_semi").select("sid"), "sid", "left_semi"))
 
     def made(ids: list[int], packed: list[bytes]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gradebook.llm import (ann, chat, decontam, html_text, jaccard, langid, licenses, mixing, pii,
                            suffix_dedup)
+from gradebook.llm.shared import stored
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, size long"
@@ -178,6 +179,23 @@ def test_keep_first_takes_rows_not_ids(spark):
                                        (11, " ")])
 
 
+def test_jaccard_joins_rows_without_own_ids_by_set(spark):
+    """Many rows with a NULL id or one repeated id, each text with one near copy: one text
+    per set is fetched (not rows times sets), and one row of each pair stays."""
+    n = 300
+    texts = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(2 * n)]
+    rows = [(None if k < n else 7, t + end) for k, t in enumerate(texts) for end in ("", " end")]
+    df = spark.createDataFrame(rows + [(None, texts[0])] * 3, "doc_id long, text string")
+    sketch = stored(jaccard.sketches(df), "test-sketch")
+    wanted = sketch.select("sid").distinct()
+    made = jaccard.set_table(df, sketch, wanted).collect()
+    assert len(made) == len({r.sid for r in made}) == 4 * n
+    assert all(jaccard.set_id(np.frombuffer(r.elements, np.uint64)) == r.sid for r in made)
+    kept = [(r.doc_id, r.text.removesuffix(" end")) for r in jaccard.keep_first(df).collect()]
+    assert sorted(kept, key=str) == sorted(
+        [(None if k < n else 7, t) for k, t in enumerate(texts)], key=str)
+
+
 def test_decontamination_without_answers(spark):
     rng = np.random.default_rng(3)
     table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
