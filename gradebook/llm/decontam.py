@@ -58,8 +58,8 @@ QUERIES = 4096
 SEED = 5
 #: Words of a piece of joined texts: with RANK 96 its latent rows take about 25 MB.
 TOKENS = 1 << 17
-#: Passages the latent space is fitted on, about: texts are drawn by a hash when there are
-#: more. Document frequencies and the search cover all texts.
+#: Passages (about) after which a task of the fit sends its sums on, which are packed in single
+#: precision: counts in them stay exact. All passages are summed.
 FIT_PASSAGES = 1 << 20
 MEMBERS = 1 << 12
 SUMS = "part int, total binary"
@@ -117,9 +117,13 @@ def _summed(tokens: DataFrame, work, shape: tuple[int, ...], parts: int) -> np.n
     """Sum over all batches of ``work(batch) -> float array of shape``, cut into ``parts``
     along its first axis and added in streaming tasks; the result has a fixed size."""
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape, np.float64)
+        total, size = np.zeros(shape, np.float64), 0
         for batch in batches:
+            if size > FIT_PASSAGES * PASSAGE * 4:
+                yield packed(dict(enumerate(np.split(total, parts))))
+                total, size = np.zeros(shape, np.float64), 0
             work(batch, total)
+            size += batch.nbytes
         yield packed(dict(enumerate(np.split(total, parts))))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,10 +164,14 @@ def _rows(values: np.ndarray, real: np.ndarray, table: np.ndarray, steps: int) -
     feats = np.where(real, _features(values), FEATURES)
     width = STEP * steps
     n = len(feats) // width
+    feats = feats[:n * width].reshape(n, width)
     out = np.empty((n, table.shape[1]), table.dtype)
-    for a in range(0, n, 4096):
-        b = min(n, a + 4096)
-        np.sum(table[feats[a * width:b * width]].reshape(b - a, width, -1), axis=1, out=out[a:b])
+    more = np.empty((min(n, 512), table.shape[1]), table.dtype)  # pieces that stay in the cache
+    for a in range(0, n, 512):
+        b = min(n, a + 512)
+        np.take(table, feats[a:b, 0], axis=0, out=out[a:b], mode="clip")
+        for k in range(1, width):
+            out[a:b] += np.take(table, feats[a:b, k], axis=0, out=more[:b - a], mode="clip")
     return out
 
 
@@ -175,16 +183,11 @@ class Latent:
 
 
 def fit(tokens: DataFrame) -> Latent | None:
-    """Randomised SVD of the TF-IDF passages of all texts (of about ``FIT_PASSAGES``, drawn by
-    text, when there are more; document frequencies count all); None without any passage."""
+    """Randomised SVD of the TF-IDF passages of all texts; None without any passage."""
     counts = _summed(tokens, _count_passages, (FEATURES * 2,), 2)
     total = counts[FEATURES]
     if not total:
         return None
-    passages = total * STEP / PASSAGE
-    if passages > FIT_PASSAGES:
-        draw = F.pmod(F.xxhash64("doc_id", "words"), F.lit(1 << 20))
-        tokens = tokens.where(draw < int((1 << 20) * FIT_PASSAGES / passages))
     idf = np.zeros(FEATURES + 1, np.float32)
     idf[:FEATURES] = np.log((total + 1) / (counts[:FEATURES] + 1))
     columns = min(RANK + OVERSAMPLE, FEATURES)
@@ -208,8 +211,8 @@ def fit(tokens: DataFrame) -> Latent | None:
                 sums = np.empty((len(heads), rows.shape[1]), np.float32)
                 ends = np.append(heads[1:], n)
                 at = 0
-                while at < len(heads):  # bounded pieces of the gathered rows
-                    to = max(at + 1, int(np.searchsorted(ends, heads[at] + (1 << 16))))
+                while at < len(heads):  # pieces of the gathered rows that stay in the cache
+                    to = max(at + 1, int(np.searchsorted(ends, heads[at] + (1 << 12))))
                     part = rows[order[heads[at]:ends[to - 1]] // PASSAGE]
                     sums[at:to] = np.add.reduceat(part, heads[at:to] - heads[at], axis=0)
                     at = to

@@ -59,3 +59,21 @@ def test_fit_on_a_sample_finds_the_same_copies(spark, monkeypatch):
     monkeypatch.setattr(decontam, "FIT_PASSAGES", 1 << 11)
     monkeypatch.setattr(decontam, "TOKENS", 500)
     assert want and pairs() == want
+
+
+def test_the_fit_reads_every_text(spark, monkeypatch):
+    """No passage is left out, however many there are."""
+    monkeypatch.setattr(decontam, "FIT_PASSAGES", 8)
+    docs = spark.createDataFrame([(k, _text(k % 7, 48 + k), "", 0) for k in range(200)], DOC)
+    tokens = decontam.stored(decontam.hashed_texts(docs), "fit-test")
+    seen, summed = [], decontam._summed
+
+    def counted(rows, *args):
+        seen.append(rows.count())
+        return summed(rows, *args)
+    monkeypatch.setattr(decontam, "_summed", counted)
+    space = decontam.fit(tokens)
+    assert seen == [200, 200, 200]
+    counts = summed(tokens, decontam._count_passages, (decontam.FEATURES * 2,), 2)
+    assert counts[decontam.FEATURES] == sum(-(-(48 + k) // decontam.STEP) for k in range(200))
+    assert space is not None and len(space.mean)
