@@ -452,17 +452,14 @@ def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("l_partkey") % 3 + 1).alias("category_id"),
             F.array(F.col("l_linenumber") * 12.0, F.col("l_quantity") * 2.0).alias("bbox"),
             note.alias("note"))).alias("value"))}
-    line = lambda text, k: spark.range(1).select(F.lit(text).alias("value"), F.lit(k).alias("k"),
-                                                 F.lit(0).alias("j"))
-    rows = line('{"info": {"deep": [{"id": 0}]}', 0)
+    path = scratch_path(spark, "one-document")  # parts in the order of their folders, by many tasks
+    before = '{"info": {"deep": [{"id": 0}]}'
     for k, (name, of) in enumerate(records.items()):
-        rows = rows.unionByName(line(f', "{name}": [', 2 * k + 1)).unionByName(of.select(
-            F.concat("value", F.lit(",")).alias("value"), F.lit(2 * k + 2).alias("k"),
-            F.lit(0).alias("j"))).unionByName(spark.range(1).select(
-                F.lit("null]").alias("value"), F.lit(2 * k + 2).alias("k"), F.lit(1).alias("j")))
-    path = scratch_path(spark, "one-document")  # a document is one file, so one task writes it
-    rows.unionByName(line("}", 99)).repartition(1).sortWithinPartitions("k", "j").select(
-        "value").write.text(path)
+        spark.range(1).select(F.lit(f'{before}, "{name}": [').alias("value")).write.text(
+            f"{path}/{k}-0-name")
+        of.select(F.concat("value", F.lit(","))).write.text(f"{path}/{k}-1-records")
+        before = "null]"
+    spark.range(1).select(F.lit("null]}").alias("value")).write.text(f"{path}/{len(records)}-end")
     found = doc.read_sections(spark, path, SECTIONS)
     cols = {"images": ("file_name", "id"), "categories": ("name", "id"),
             "annotations": ("note", "image_id"), "licenses": (None, "id")}

@@ -146,11 +146,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def document_records(spark: SparkSession, path: str) -> DataFrame:
-    """``section, text``: the records (JSON objects) of the arrays of a document that is one
-    file, in no order. Sections that are no arrays, and array elements that are no objects or
-    arrays, give no rows; an empty file gives none."""
-    pieces = spark.read.option("lineSep", ",").text(path).select(
-        F.col("_metadata.file_block_start").alias("block"), "value")
+    """``section, text``: the records (JSON objects) of the arrays of a document, in no order.
+    The document is one file, or all files below a folder in the order of their paths, each but
+    the last ending at a white space outside strings. Sections that are no arrays, and array
+    elements that are no objects or arrays, give no rows; an empty file gives none."""
+    raw = spark.read.option("lineSep", ",").option("recursiveFileLookup", True).text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"), "value")
+    # blocks are numbered by file and place: a row for every 128 MB and file
+    numbers = stored_table(raw.groupBy("file", "start").agg(F.lit(1).alias("one")).select(
+        "file", "start", F.row_number().over(Window.orderBy("file", "start")).cast("long").alias(
+            "block")), "document-blocks")
+    pieces = raw.join(F.broadcast(numbers), ["file", "start"]).select("block", "value")
     states = stored_table(pieces.mapInArrow(_states, _STATE).groupBy("block").agg(
         *[F.sum(c).alias(c) for c in ("quotes", "delta_0", "delta_1")]), "document-states")
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

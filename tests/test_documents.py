@@ -59,3 +59,35 @@ def test_sections_at_any_cut(spark, cut):
 def test_empty_documents(spark):
     for text in ("", "{}", '{"images": []}'):
         _check(spark, {}, text)
+
+
+def test_a_document_in_parts(spark):
+    """A folder of parts in path order is one document; records and strings cross no part."""
+    path = tempfile.mkdtemp(prefix="gb-doc-")
+    parts = {"0-head/a": '{"info": [1, {"id": 9}],\n"images": [', "1-rows/p0": '{"id": 1, "name": "]"},\n',
+             "1-rows/p1": '{"id": 2, "name": "{\\""},\nnull],\n"annotations": [', "2/p": '{"id": 3}',
+             "3-end/p": "]}\n"}
+    for name, text in parts.items():
+        os.makedirs(os.path.dirname(os.path.join(path, name)), exist_ok=True)
+        with open(os.path.join(path, name), "w") as f:
+            f.write(text)
+    got = doc.read_sections(spark, path, SCHEMAS)
+    assert sorted((r.id, r.name) for r in got["images"].collect()) == [(1, "]"), (2, '{"')]
+    assert [r.id for r in got["annotations"].collect()] == [3]
+
+
+def test_the_plan_writes_its_document_in_parts(spark):
+    from gradebook.plans import library_plans
+
+    sizes, read = [], library_plans.doc.read_sections
+
+    def sized(spark, path, schemas):
+        sizes.extend(n for n in os.listdir(path))
+        return read(spark, path, schemas)
+    library_plans.doc.read_sections = sized
+    try:
+        rows = library_plans.document_sections(spark, "/root/testdata/sf0.001")
+        assert rows.where("section = 'annotations'").count() > 5000
+    finally:
+        library_plans.doc.read_sections = read
+    assert len([n for n in sizes if n.endswith("-records")]) == 3
