@@ -27,6 +27,22 @@ def test_a_bad_record_loses_only_itself(spark):
     assert guard.guarded(df.limit(0), stage, "double").count() == 0
 
 
+def test_a_stage_gets_small_batches(spark):
+    def stage(pdf):
+        # in a wide batch all values are wrong
+        return pdf["text"].str.len() + (pdf["text"].str.len().sum() > 3 * guard.BATCH_BYTES)
+
+    text = F.repeat(F.lit("x"), F.when(F.col("id") == 7, guard.BATCH_BYTES * 2).otherwise(20_000))
+    df = spark.range(400).select("id", text.alias("text"), F.lit(None).cast("timestamp").alias("t")
+                                 ).coalesce(1)
+    got = guard.guarded(df, stage, "long")
+    assert got.dtypes[2:] == [("t", "timestamp"), ("value", "bigint"), ("error", "string")]
+    rows = got.select("id", "value", "error").collect()
+    assert sorted(r.id for r in rows) == list(range(400))
+    assert all(r.error is None and r.value == (
+        guard.BATCH_BYTES * 2 if r.id == 7 else 20_000) for r in rows)
+
+
 def test_json_lines_with_errors(spark):
     path = os.path.join(tempfile.mkdtemp(prefix="gb-guard-"), "x.json")
     with open(path, "w") as f:
