@@ -18,7 +18,8 @@ link when ``100 * |intersection| >= THRESHOLD * |union|``.
    (a lower bound of the sets' difference from their counts in ``RANGES`` hash ranges). Only
    pairs that pass leave the task. After it no
    candidate pair that could join two components is unverified, so components are exact.
-5. Verification fetches both sets once per distinct pair and intersects them.
+5. Verification fetches both sets once per distinct pair and intersects them. A set is made
+   from its text when the first pair that holds it is to be verified, and kept for later ones.
 
 Shingles and sets are compared by 64-bit hashes.
 
@@ -266,14 +267,16 @@ def _members(pairs: DataFrame) -> DataFrame:
 def set_table(docs: DataFrame, sketch: DataFrame, wanted: DataFrame) -> DataFrame:
     """``sid, elements`` (sorted hashes) of the wanted sets, made from one document each.
 
-    A set takes the text of its smallest id. Ids (or NULL) that several sets would take are
-    not joined by, as each of their texts would meet each of the sets: these texts are hashed
-    and one of each set is taken by the set's own id.
+    A set takes the text of its smallest id. Ids (or NULL) that several rows have are not
+    joined by, as each of their texts would meet each of their sets: these texts are hashed
+    and one of each set is taken by the set's own id. So each set comes out once, and no
+    elements are shuffled to drop others.
     """
-    owners = sketch.where("sid is not null").join(wanted, "sid", "left_semi").groupBy("sid").agg(
-        F.min("doc_id").alias("of"))
-    shared = stored(owners.groupBy("of").agg(F.count(F.lit(1)).alias("sets")).where(
-        "sets > 1").select("of"), "jaccard-shared")
+    owners = stored(sketch.where("sid is not null").join(wanted, "sid", "left_semi").groupBy(
+        "sid").agg(F.min("doc_id").alias("of")), "jaccard-owners")
+    repeated = sketch.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    shared = stored(owners.select("of").distinct().join(repeated, F.col("of").eqNullSafe(
+        F.col("doc_id")), "left_semi"), "jaccard-shared")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     same = F.col("doc_id").eqNullSafe(F.col("of"))
     if shared.isEmpty():
@@ -298,15 +301,27 @@ def set_table(docs: DataFrame, sketch: DataFrame, wanted: DataFrame) -> DataFram
             ids, packed, size = [], [], 0
             for sid, elements in zip(batch.column(0).to_pylist(),
                                      shingle_sets(batch.column(1))):
-                if len(elements) and set_id(elements) == sid:  # ids may repeat with other texts
-                    ids.append(sid)
-                    packed.append(elements.tobytes())
-                    size += len(packed[-1])
+                ids.append(sid)
+                packed.append(elements.tobytes())
+                size += len(packed[-1])
                 if size >= SET_BYTES:
                     yield made(ids, packed)
                     ids, packed, size = [], [], 0
             yield made(ids, packed)
-    return texts.mapInArrow(run, SET).dropDuplicates(["sid"])
+    return texts.mapInArrow(run, SET)
+
+
+def with_members(docs: DataFrame, sketch: DataFrame, pairs: DataFrame,
+                 sets: DataFrame | None = None) -> DataFrame:
+    """``sets`` and the sets of ``pairs`` that it lacks."""
+    wanted = _members(pairs)
+    if sets is not None:
+        wanted = stored(wanted.join(sets.select("sid"), "sid", "left_anti"), "jaccard-wanted")
+        if wanted.isEmpty():
+            return sets
+    found = stored(set_table(docs, sketch, wanted), "jaccard-sets")
+    release(docs.sparkSession)
+    return found if sets is None else sets.unionByName(found)
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -337,21 +352,21 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
 
     sketch = stored(sketches(docs), "jaccard-sketch")
+    release(spark)
     posts = stored(shared_postings(sketch), "jaccard-posts")
     release(spark)
     pairs = stored(near_pairs(posts), "jaccard-pairs")
-    sets = stored(set_table(docs, sketch, _members(pairs)), "jaccard-sets")
-    release(spark)
+    sets = with_members(docs, sketch, pairs)
     links = stored(verified(pairs, sets), "jaccard-links")
     release(spark)
     labels = components(links)
     release(spark)
     mixed = stored(mixed_postings(posts, labels), "jaccard-mixed")
-    more = mixed.select("sid").distinct().join(sets.select("sid"), "sid", "left_anti")
-    sets = sets.unionByName(stored(set_table(docs, sketch, more), "jaccard-sets"))
     release(spark)
     for turn in range(TURNS):
-        found = stored(verified(next_pairs(mixed, turn), sets), "jaccard-links")
+        pairs = stored(next_pairs(mixed, turn), "jaccard-pairs")
+        sets = with_members(docs, sketch, pairs, sets)
+        found = stored(verified(pairs, sets), "jaccard-links")
         if found.isEmpty():
             break
         labels = merged(labels, found)
@@ -361,7 +376,10 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ranges = sketch.where("ranges is not null").join(
         mixed.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(
         F.min("ranges").alias("ranges"))
-    found = stored(verified(cross_pairs(mixed, ranges), sets), "jaccard-links")
+    pairs = stored(cross_pairs(mixed, ranges), "jaccard-pairs")
+    release(spark)
+    sets = with_members(docs, sketch, pairs, sets)
+    found = stored(verified(pairs, sets), "jaccard-links")
     release(spark)
     if not found.isEmpty():
         labels = merged(labels, found)

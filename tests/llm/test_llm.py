@@ -196,6 +196,30 @@ def test_jaccard_joins_rows_without_own_ids_by_set(spark):
         [(None if k < n else 7, t) for k, t in enumerate(texts)], key=str)
 
 
+def test_jaccard_fetches_only_sets_of_pairs(spark, monkeypatch):
+    """Sets of different components that share a posted shingle but make no pair are not made,
+    and the sets are made without a shuffle of their elements."""
+    tables = collections.defaultdict(list)
+
+    def kept(df, name):
+        tables[name].append(stored(df, name))
+        return tables[name][-1]
+    monkeypatch.setattr(jaccard, "stored", kept)
+    near = " ".join(f"n{i}" for i in range(60))
+    rows = ["a b c d e", "x a b c d e", *["x a b c d"] * 3, near, near + " end"]
+    df = spark.createDataFrame([*enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 2, 4: 2, 5: 5, 6: 5}
+    assert max(t.select("sid").distinct().count() for t in tables["jaccard-mixed"]) == 2
+    made = [r.sid for t in tables["jaccard-sets"] for r in t.collect()]
+    both = {x for t in tables["jaccard-pairs"] for r in t.collect() for x in (r.a, r.b)}
+    assert len(made) == 2 and set(made) == both
+    sketch = tables["jaccard-sketch"][0]
+    plan = jaccard.set_table(df, sketch, sketch.select("sid").distinct())
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in text.split("MapInArrow")[0]
+
+
 def test_decontamination_without_answers(spark):
     rng = np.random.default_rng(3)
     table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
