@@ -412,17 +412,19 @@ def leak_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     tokens = stored(hashed_texts(docs), "decontam-words")
     space = fit(tokens)
-    out = spark.createDataFrame([], LEAK)
+    none = tokens.where("false").mapInArrow(lambda batches: batches, LEAK)
     if space is None:
-        return out
+        return none
+    out = None
     for block in _item_blocks(benchmark):
         shared = spark.sparkContext.broadcast(Queries(block, space))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield _found(batch, shared.value)
-        out = out.unionByName(tokens.mapInArrow(run, LEAK))
-    return out
+        found = tokens.mapInArrow(run, LEAK)
+        out = found if out is None else out.unionByName(found)
+    return none if out is None else out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -282,11 +282,10 @@ def set_table(docs: DataFrame, sketch: DataFrame, wanted: DataFrame) -> DataFram
     if shared.isEmpty():
         texts = rows.join(owners, same).select("sid", "text")
     else:
-        ids = F.arrow_udf(_set_ids, "long")
         held = shared.withColumnRenamed("of", "held")
         several = F.col("of").eqNullSafe(F.col("held"))
         chosen = rows.join(shared, same, "left_semi").select(
-            ids("text").alias("sid"), "text").where("sid is not null").groupBy("sid").agg(
+            _text_set("text").alias("sid"), "text").where("sid is not null").groupBy("sid").agg(
             F.min("text").alias("text"))
         texts = rows.join(owners.join(held, several, "left_anti"), same).select(
             "sid", "text").unionByName(chosen.join(
@@ -404,6 +403,12 @@ def _set_ids(texts: pa.Array) -> pa.Array:
     return pa.array([set_id(x) if len(x) else None for x in shingle_sets(texts)], pa.int64())
 
 
+def _text_set(text: str) -> Column:
+    """The set id of each text. Nondeterministic to the optimiser, which else repeats it in the
+    filters it derives: each text is then hashed twice, by two Python workers a task."""
+    return F.arrow_udf(_set_ids, "long").asNondeterministic()(text)
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component: of its smallest non-NULL id (NULL if it has
     none), of that id's smallest set, and of equal sets of that id the row with the smallest
@@ -413,8 +418,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
         F.col("least").isNull().alias("none"), "least", "sid")).alias("f"))
     key, own, set_, least = (free_name(docs, n) for n in ("_key", "_own", "_set", "_least"))
     first = first.select(F.col("f.sid").alias(set_), F.col("f.least").alias(least))
-    ids = F.arrow_udf(_set_ids, "long")
-    rows = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(own, ids("text"))
+    rows = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(own, _text_set("text"))
     kept = rows.join(first, (F.col(own) == F.col(set_)) & F.col(key).eqNullSafe(
         F.col(least)), "left_semi")
     order = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t])

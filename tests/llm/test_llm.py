@@ -220,6 +220,20 @@ def test_jaccard_fetches_only_sets_of_pairs(spark, monkeypatch):
     assert "Aggregate" not in text.split("MapInArrow")[0]
 
 
+def test_pipeline_stages_start_no_more_python_than_they_need(spark, none):
+    """A text is hashed once by keep_first (no second Python step in the filters derived from
+    it), and the hits are read without a Python RDD beside them: idle workers take memory."""
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, None)], "doc_id long, text string")
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(jaccard.keep_first(df)).count("ArrowEvalPython") == 2  # with words, without
+    bench = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
+    found = decontam.leak_rows(df, bench)
+    assert "RDD" not in plan(found) and found.collect()[0].doc_id == 1
+    assert decontam.leak_rows(df, bench.where("false")).collect() == []
+    empty = decontam.leak_rows(none, bench)
+    assert empty.columns == found.columns and empty.collect() == []
+
+
 def test_decontamination_without_answers(spark):
     rng = np.random.default_rng(3)
     table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
