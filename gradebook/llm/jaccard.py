@@ -10,16 +10,21 @@ link when ``100 * |intersection| >= THRESHOLD * |union|``.
 2. Documents with equal sets are one set (``sid``). Each set posts the first
    ``n - ceil(0.8 n) + 1`` shingles of its order: linked sets must share one of them.
 3. Per posted shingle the sets are ordered by size. A first round verifies only neighbours in
-   that order and the smallest set (linear in the postings); its links form components.
+   that order and the smallest set (linear in the postings); its links form components. Of up
+   to ``ALL_PAIRED`` sets these are all pairs, so only fuller shingles go on. No round takes a
+   pair of a round before again.
 4. Up to ``TURNS`` further linear rounds take neighbours of different components in a random
    order, so that large groups of near copies become one component without all their pairs.
    The last round takes every pair of sets that share a posted shingle and still lie in
-   different components, under the length filter, the positional filter and the suffix filter
-   (a lower bound of the sets' difference from their counts in ``RANGES`` hash ranges). Only
-   pairs that pass leave the task. After it no
+   different components, under the length filter and the positional filter. After it no
    candidate pair that could join two components is unverified, so components are exact.
-5. Verification fetches both sets once per distinct pair and intersects them. A set is made
+5. Pairs of all rounds pass the suffix filter (a lower bound of the sets' difference from their
+   counts in ``RANGES`` hash ranges) before any set is made; in the last round only pairs that
+   pass leave the task. Sets that share a shingle by chance, whose number grows faster than the
+   documents, go here.
+6. Verification fetches both sets once per distinct pair and intersects them. A set is made
    from its text when the first pair that holds it is to be verified, and kept for later ones.
+   Texts, counts and sets that no pair needs are dropped before the shuffle of their join.
 
 Shingles and sets are compared by 64-bit hashes.
 
@@ -40,11 +45,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import free_name, release, stored
+from .shared import among, free_name, release, stored
 from .textstats import inner_shingles, mix, parts, shingle_sets, utf8
 
 THRESHOLD = 80
 TURNS = 1
+ALL_PAIRED = 4  # near_pairs takes all pairs of so many sets
 RANGES = 128
 BUCKET_BITS = 22
 CHUNKS = 64
@@ -102,10 +108,18 @@ def set_id(elements: np.ndarray) -> int:
 
 
 def range_counts(elements: np.ndarray) -> bytes:
-    """Elements per hash range, 16 bits each; a fuller range counts as full (still a bound)."""
+    """Elements per hash range, 16 bits each; a fuller range counts as full (still a bound).
+    All low bytes come before the high ones, nearly always zero, so that shuffles compress them."""
     shift = np.uint64(64 - (RANGES - 1).bit_length())
     counts = np.bincount((elements >> shift).astype(np.int64), minlength=RANGES)
-    return np.minimum(counts, 0xFFFF).astype(np.uint16).tobytes()
+    counts = np.minimum(counts, 0xFFFF)
+    return np.concatenate([counts & 0xFF, counts >> 8]).astype(np.uint8).tobytes()
+
+
+def counts_of(column: pa.Array) -> np.ndarray:
+    """The rows of :func:`range_counts` as numbers."""
+    both = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2, RANGES)
+    return both[:, 0].astype(np.int32) | both[:, 1].astype(np.int32) << 8
 
 
 def prefix_length(n: int) -> int:
@@ -150,7 +164,7 @@ def _may_link(n1: Column, i: Column, n2: Column, j: Column) -> Column:
 
 
 def shared_postings(sketch: DataFrame) -> DataFrame:
-    """Posted shingles of at least two sets, each with its neighbours by size."""
+    """Posted shingles of at least two sets (``sets`` of them), with their neighbours by size."""
     posts = sketch.where("keys is not null").select(
         "sid", "n", F.posexplode("keys").alias("pos", "key")).repartition("key").groupBy(
         "key", "sid").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
@@ -160,7 +174,7 @@ def shared_postings(sketch: DataFrame) -> DataFrame:
     return posts.select(
         "key", "sid", "n", "pos", F.lag(me, 1).over(by_size).alias("prev"),
         F.lag(me, 2).over(by_size).alias("prev2"), F.first(me).over(by_size).alias("hub"),
-        F.count(F.lit(1)).over(own).alias("sets")).where("sets > 1").drop("sets")
+        F.count(F.lit(1)).over(own).alias("sets")).where("sets > 1")
 
 
 def _distinct_pairs(pairs: DataFrame) -> DataFrame:
@@ -168,7 +182,8 @@ def _distinct_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def near_pairs(posts: DataFrame) -> DataFrame:
-    """Pairs of neighbours in the size order of a posted shingle, and with its smallest set."""
+    """Pairs of neighbours in the size order of a posted shingle, and with its smallest set.
+    Of ``ALL_PAIRED`` sets and fewer that is every pair."""
     other = F.explode(F.array("prev", "prev2", "hub"))
     pairs = posts.select("sid", "n", "pos", other.alias("o")).where(
         F.col("o").isNotNull() & (F.col("o.sid") != F.col("sid"))
@@ -178,7 +193,7 @@ def near_pairs(posts: DataFrame) -> DataFrame:
 
 def mixed_postings(posts: DataFrame, labels: DataFrame) -> DataFrame:
     """Postings (with their set's component) of shingles that several components post."""
-    labelled = posts.select("key", "sid", "n", "pos").join(
+    labelled = posts.select("key", "sid", "n", "pos", "sets").join(
         labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
         "label", F.coalesce("label", "sid"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
@@ -207,8 +222,7 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pairs_of(table: pa.Table) -> pa.RecordBatch:
         key, sid, n, pos, label = (table.column(c).to_numpy() for c in (
             "key", "sid", "n", "pos", "label"))
-        ranges = np.frombuffer(b"".join(table.column("ranges").to_pylist()), np.uint16).reshape(
-            -1, RANGES).astype(np.int32)
+        ranges = counts_of(table.column("ranges"))
         ends = np.searchsorted(key, key, "right")
         left, right = [], []
         for i in range(len(key)):
@@ -241,6 +255,27 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs_of(held)
 
 
+def set_counts(sketch: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``sid, size, ranges`` of the wanted sets."""
+    held = among(sketch.where("ranges is not null").select("sid", "n", "ranges"), "sid", wanted)
+    return held.join(wanted, "sid", "left_semi").groupBy("sid").agg(
+        F.min("n").alias("size"), F.min("ranges").alias("ranges"))
+
+
+def possible(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """The pairs (a, b) that pass the suffix filter."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+            apart = np.abs(counts_of(batch.column("x")) - counts_of(batch.column("y"))).sum(1)
+            keep = n + m - apart >= 2 * _need(n, m)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+    counts = set_counts(sketch, _members(pairs))
+    return pairs.join(counts.toDF("a", "n", "x"), "a").join(
+        counts.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y").mapInArrow(
+        run, "a long, b long")
+
+
 def cross_pairs(mixed: DataFrame, ranges: DataFrame) -> DataFrame:
     """All pairs of sets of different components that share a posted shingle and may link."""
     rows = mixed.join(ranges, "sid").select("key", "sid", "n", "pos", "label", "ranges")
@@ -277,7 +312,8 @@ def set_table(docs: DataFrame, sketch: DataFrame, wanted: DataFrame) -> DataFram
     repeated = sketch.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     shared = stored(owners.select("of").distinct().join(repeated, F.col("of").eqNullSafe(
         F.col("doc_id")), "left_semi"), "jaccard-shared")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = among(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id",
+                 owners.select("of"))
     same = F.col("doc_id").eqNullSafe(F.col("of"))
     if shared.isEmpty():
         texts = rows.join(owners, same).select("sid", "text")
@@ -334,6 +370,8 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link."""
+    sets = among(sets, "sid", _members(pairs))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (x, i), (y, j) = utf8(batch.column(2)), utf8(batch.column(3))
@@ -354,16 +392,22 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     release(spark)
     posts = stored(shared_postings(sketch), "jaccard-posts")
     release(spark)
-    pairs = stored(near_pairs(posts), "jaccard-pairs")
+    tried = stored(near_pairs(posts), "jaccard-near")
+    pairs = stored(possible(tried, sketch), "jaccard-pairs")
+    release(spark)
     sets = with_members(docs, sketch, pairs)
     links = stored(verified(pairs, sets), "jaccard-links")
     release(spark)
     labels = components(links)
     release(spark)
-    mixed = stored(mixed_postings(posts, labels), "jaccard-mixed")
+    mixed = stored(mixed_postings(posts, labels), "jaccard-mixed").where(
+        F.col("sets") > ALL_PAIRED)
     release(spark)
     for turn in range(TURNS):
-        pairs = stored(next_pairs(mixed, turn), "jaccard-pairs")
+        near = stored(next_pairs(mixed, turn).join(tried, ["a", "b"], "left_anti"),
+                      "jaccard-near")
+        tried = tried.unionByName(near)
+        pairs = stored(possible(near, sketch), "jaccard-pairs")
         sets = with_members(docs, sketch, pairs, sets)
         found = stored(verified(pairs, sets), "jaccard-links")
         if found.isEmpty():
@@ -372,10 +416,9 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         release(spark)
         mixed = stored(mixed_postings(mixed, labels), "jaccard-mixed")
     release(spark)
-    ranges = sketch.where("ranges is not null").join(
-        mixed.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(
-        F.min("ranges").alias("ranges"))
-    pairs = stored(cross_pairs(mixed, ranges), "jaccard-pairs")
+    ranges = set_counts(sketch, mixed.select("sid").distinct()).select("sid", "ranges")
+    pairs = stored(cross_pairs(mixed, ranges).join(tried, ["a", "b"], "left_anti"),
+                   "jaccard-pairs")
     release(spark)
     sets = with_members(docs, sketch, pairs, sets)
     found = stored(verified(pairs, sets), "jaccard-links")

@@ -5,12 +5,13 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gradebook.llm import (ann, chat, decontam, html_text, jaccard, langid, licenses, mixing, pii,
                            suffix_dedup)
-from gradebook.llm.shared import stored
+from gradebook.llm.shared import among, stored
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, size long"
@@ -234,6 +235,65 @@ def test_pipeline_stages_start_no_more_python_than_they_need(spark, none):
     assert empty.columns == found.columns and empty.collect() == []
 
 
+def _kept_tables(monkeypatch):
+    tables = collections.defaultdict(list)
+
+    def kept(df, name):
+        tables[name].append(stored(df, name))
+        return tables[name][-1]
+    monkeypatch.setattr(jaccard, "stored", kept)
+    return tables
+
+
+def test_jaccard_makes_no_set_of_a_chance_pair(spark, monkeypatch):
+    """Two texts that share a passage, their other words being more frequent, so that it leads
+    both prefixes: the suffix filter drops the pair before a set is made."""
+    tables = _kept_tables(monkeypatch)
+    run = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = [f"{run('s', 60)} {run(own, 40)}" for own in "uv"] + [
+        f"{run(own, 40)} {run(f'{own}{k}x', 400)}" for own in "uv" for k in range(6)]
+    df = spark.createDataFrame([*enumerate(rows)], "doc_id long, text string")
+    assert all(r.doc_id == r.component_id for r in jaccard.near_duplicates(df).collect())
+    sid = {r.doc_id: r.sid for r in tables["jaccard-sketch"][0].collect()}
+    near = {(r.a, r.b) for r in tables["jaccard-near"][0].collect()}
+    assert tuple(sorted((sid[0], sid[1]))) in near
+    assert not sum(t.count() for t in tables["jaccard-sets"])
+
+
+def test_jaccard_verifies_a_pair_once(spark, monkeypatch):
+    """Pairs that a round has verified in vain do not come back in later rounds, and all pairs
+    of up to ALL_PAIRED sets of a shingle are taken in the first."""
+    tables = _kept_tables(monkeypatch)
+    shared = " ".join(f"s{i}" for i in range(90))
+    rows = [shared + "".join(f" {own}{i}" for i in range(11)) for own in "abcdefghi"]
+    often = [(" ".join(t.split()[86:]) + " ") * 30 for t in rows]  # else these words lead prefixes
+    df = spark.createDataFrame([*enumerate(rows + often)], "doc_id long, text string")
+    sets = [{*zip(*(t.split()[i:] for i in range(5)))} for t in rows]
+    assert all(100 * len(x & y) < 80 * len(x | y) for x in sets for y in sets if x is not y)
+    assert all(r.doc_id == r.component_id for r in jaccard.near_duplicates(df).collect())
+    taken = collections.Counter(r for t in tables["jaccard-pairs"] for r in t.collect())
+    assert taken and max(taken.values()) == 1
+    few = spark.createDataFrame([(k, 40 + k, k + 100, [7]) for k in range(jaccard.ALL_PAIRED)],
+                                "doc_id long, n long, sid long, keys array<long>")
+    assert jaccard.near_pairs(jaccard.shared_postings(few)).count() == 6
+
+
+def test_range_counts_are_read_back():
+    elements = np.sort(np.concatenate([np.arange(70000), np.arange(300) + (5 << 57)]).astype(np.uint64))
+    got = jaccard.counts_of(pa.array([jaccard.range_counts(elements)], pa.binary()))
+    assert got.shape == (1, jaccard.RANGES) and (got[0, 0], got[0, 5]) == (0xFFFF, 300)
+    assert got.sum() == 0xFFFF + 300
+
+
+def test_among_keeps_all_wanted_rows(spark):
+    df = spark.range(20000).selectExpr("nullif(id, 3) AS `k.1`", "id AS _word")
+    wanted = df.where("_word % 100 = 0 OR _word = 3").select("`k.1`")
+    got = {r._word for r in among(df, "k.1", wanted).collect()}
+    assert {3, *range(0, 20000, 100)} <= got and len(got) < 220
+    assert among(df, "k.1", wanted).columns == df.columns
+    assert among(df, "k.1", wanted.limit(0)).isEmpty()
+
+
 def test_decontamination_without_answers(spark):
     rng = np.random.default_rng(3)
     table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
