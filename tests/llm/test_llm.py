@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -40,6 +41,58 @@ def test_suffix_dedup_edges(docs, none):
     assert suffix_dedup.deduplicate(none).count() == 0
 
 
+def _windows(entries):
+    """Per new entry of (suffix, before, id, new) the windows that a smaller document has."""
+    g, out = suffix_dedup.GRAM, []
+    for s, b, who, new in entries:
+        mask = 0
+        for t, c, other, _ in entries:
+            if new and other < who and t[:g] == s[:g]:
+                for l in range(suffix_dedup.SIDE + 1):
+                    r = g + suffix_dedup.SIDE - l
+                    if min(len(b), len(c)) >= l and min(len(s), len(t)) >= r \
+                            and b[len(b) - l:] == c[len(c) - l:] and s[:r] == t[:r]:
+                        mask |= 1 << l
+        out.append(mask)
+    return out
+
+
+@pytest.mark.parametrize("paired", [1, 3, 64])
+def test_merged_entries_share_their_windows(monkeypatch, paired):
+    """Groups compared pair by pair, by hash, and both, against plain comparison; entries of small
+    groups are not hashed."""
+    rng, entries = random.Random(6), []
+    for n in (1, 2, 2, 3, 5, 9, 40):
+        head = bytes(rng.choices(b"abcdefgh", k=suffix_dedup.GRAM))
+        for _ in range(n):
+            after = bytes(rng.choices(b"x\0", weights=[40, 1], k=rng.choice([3, 20, 34])))
+            before = bytes(rng.choices(b"y\0", weights=[40, 1], k=rng.choice([0, 10, 34])))
+            entries.append((head + after, before, rng.randrange(8), rng.random() < 0.7))
+    entries.sort(key=lambda e: e[0])
+    monkeypatch.setattr(suffix_dedup, "PAIRED", paired)
+    hashed = []
+    monkeypatch.setattr(suffix_dedup, "_hash_masks", lambda *x, f=suffix_dedup._hash_masks: (
+        hashed.append(len(x[1])) or f(*x)))
+    rows = pa.record_batch([pa.array(x) for x in zip(*entries)], ["suffix", "before", "ord", "new"])
+    rows = rows.append_column("ctx", pa.array(range(len(entries))))
+    got = dict(zip(range(len(entries)), [0] * len(entries)))
+    for batch in suffix_dedup._merge_scan(iter([rows])):
+        got |= dict(zip(batch.column("ctx").to_pylist(), batch.column("mask").to_pylist()))
+    want = _windows(entries)
+    assert list(got.values()) == want and any(want)
+    assert hashed == {1: [61], 3: [54], 64: []}[paired]
+
+
+def test_decided_contexts_whatever_the_order():
+    rows = [(2, 5, 9), (2, 5, 4), (2, 5, 4), (2, 6, 7), (4, 8, 3), (4, 8, 3), (3, 1, 6), (6, 5, 1)]
+    want = sorted([(9, 5, -1), (4, 5, 0), (7, 6, 0), (6, 1, -1)])
+    for seed in range(5):
+        random.Random(seed).shuffle(rows)
+        batch = pa.record_batch([pa.array(x) for x in zip(*rows)], ["fp", "ctx", "ord"])
+        found = next(suffix_dedup._decide(iter([batch])))
+        assert sorted(zip(*(c.to_pylist() for c in found.columns))) == want
+
+
 def test_mix_meets_targets_and_repeats(docs, none):
     a, b = (sorted(map(str, mixing.mix(docs).collect())) for _ in range(2))
     assert a == b and len(a) == len(ROWS)
